@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from stockweave.llm import mixing, quality_rules
+from stockweave.llm import mixing, ngram_join, quality_rules
 
 QUERIES = {
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 ORACLES = {
+    "op3_ngram_join": ngram_join.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
 }
