@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from stockweave.llm import mixing, ngram_join, quality_rules
+from stockweave.llm import media, mixing, ngram_join, quality_rules, warc
 
 QUERIES = {
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_warc_dictionary": warc.op8_warc_dictionary,
+    "op9_media_columns": media.op9_media_columns,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 ORACLES = {
     "op3_ngram_join": ngram_join.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
+    "op8_warc_dictionary": warc.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
 }
