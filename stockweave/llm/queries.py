@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from stockweave.llm import media, mixing, ngram_join, quality_rules, warc
+from stockweave.llm import media, mixing, ngram_join, quality_rules, token_store, warc
 
 QUERIES = {
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op4_token_store": token_store.op4_token_store,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_warc_dictionary": warc.op8_warc_dictionary,
     "op9_media_columns": media.op9_media_columns,

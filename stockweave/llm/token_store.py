@@ -17,7 +17,9 @@ gives no files. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,13 +31,15 @@ from pyspark.sql import functions as F
 from stockweave.llm.common import staged
 
 MAGIC = b"SWTOKCM1"
-BLOCK_IDS = 4096
+BLOCK_IDS = 2048
 #: A file is closed at so many ids; it then has so many / BLOCK_IDS lanes.
-FILE_IDS = 4_000_000
+FILE_IDS = 6_000_000
 END_ID = 1
 VOCABULARY = 1 << 16
-SLOT_BITS = 12
-CACHED_WORDS = 300_000
+SLOT_BITS = 11
+CACHED_WORDS = 600_000
+#: Share of a model's probability that goes to what has just come.
+RATE = 1 / 16
 
 _TOP, _BOTTOM, _SHIFT, _WORD = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16), np.uint64(48)
 _SCALE = 1 << 16
@@ -47,46 +51,48 @@ class _Lanes:
     def __init__(self, lanes: int):
         self.base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
         size = lanes << SLOT_BITS
-        self.id1, self.id2 = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        self.conf1, self.conf2 = np.zeros(size, np.int8), np.zeros(size, np.int8)
+        # slots: the predicted id times 4, plus 0 to 3 for how often in a row it has been right
+        self.slot1, self.slot2 = np.full(size, -4, np.int32), np.full(size, -4, np.int32)
         self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.counts = np.ones((3, lanes, 8, 4), np.float32)
+        self.tables = [np.full((lanes * 8, 4), 0.25, np.float32) for _ in range(3)]
         self.weight = np.full((3, lanes), 1 / 3, np.float32)
         self.row = np.arange(lanes)
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For the first n lanes: order-2 and order-1 predictions, and the outcomes' cumulative frequencies (n, 5)."""
-        a, b = self.prev1[:n], self.prev2[:n]
-        self.at1 = self.base[:n] + ((a * 2654435761 >> 7) & ((1 << SLOT_BITS) - 1))
-        self.at2 = self.base[:n] + (((a * 2654435761 + b * 40503 * 65537) >> 9) & ((1 << SLOT_BITS) - 1))
-        p1, p2, row = self.id1[self.at1], self.id2[self.at2], self.row[:n]
-        same = p1 == p2
-        self.ctx = self.conf2[self.at2] + np.where(same, 4, 0).astype(np.int8), self.conf1[self.at1], np.zeros(n, np.int8)
-        self.parts = [self.counts[k][row, c] for k, c in enumerate(self.ctx)]
-        self.parts = [x / x.sum(1, keepdims=True) for x in self.parts]
-        mixed = sum(self.weight[k, :n, None] * x for k, x in enumerate(self.parts))
-        freq = (mixed / mixed.sum(1, keepdims=True) * np.float32(_SCALE - 64)).astype(np.int64) + 16
+        a = self.prev1[:n] * 2654435761
+        mask = (1 << SLOT_BITS) - 1
+        self.at1 = self.base[:n] + (a >> 7 & mask)
+        self.at2 = self.base[:n] + (a + self.prev2[:n] * 2654435787 >> 9 & mask)
+        self.got1, self.got2 = self.slot1.take(self.at1), self.slot2.take(self.at2)
+        p1, p2 = self.got1 >> 2, self.got2 >> 2
+        row = self.row[:n] << 3
+        self.ctx = row + (self.got2 & 3) + ((p1 == p2) << 2), row + (self.got1 & 3), row
+        self.parts = [t.take(c, axis=0) for t, c in zip(self.tables, self.ctx, strict=True)]
+        w = self.weight[:, :n, None]
+        mixed = w[0] * self.parts[0] + w[1] * self.parts[1] + w[2] * self.parts[2]
+        freq = (mixed * np.float32(_SCALE - 512)).astype(np.int64) + 32
         cum = np.zeros((n, 5), np.int64)
-        np.cumsum(freq, axis=1, out=cum[:, 1:])
+        cum[:, 1] = freq[:, 0]
+        np.add(cum[:, 1], freq[:, 1], out=cum[:, 2])
+        np.add(cum[:, 2], freq[:, 2], out=cum[:, 3])
         cum[:, 4] = _SCALE
         return p2, p1, cum
 
     def learn(self, n: int, ids: np.ndarray, outcome: np.ndarray) -> None:
-        row = self.row[:n]
-        for k, c in enumerate(self.ctx):
-            seen = self.counts[k]
-            seen[row, c, outcome] += 2
-            got = seen[row, c]
-            full = np.flatnonzero(got.sum(1) > 255)
-            if len(full):
-                seen[full, c[full]] = got[full] * np.float32(0.5) + np.float32(0.25)
-        hit = np.stack([x[row, outcome] for x in self.parts])
-        w = self.weight[:, :n] * hit
-        self.weight[:, :n] = w / w.sum(0) * np.float32(0.94) + np.float32(0.02)
-        for slot, conf, at in ((self.id1, self.conf1, self.at1), (self.id2, self.conf2, self.at2)):
-            was = slot[at] == ids
-            conf[at] = np.where(was, np.minimum(conf[at] + 1, 3), 0)
-            slot[at] = ids
+        at = (self.row[:n] << 2) + outcome
+        w = self.weight[:, :n]
+        for k, part in enumerate(self.parts):
+            w[k] *= part.take(at)
+            part *= np.float32(1 - RATE)
+            part += np.float32(RATE * 0.02)  # no outcome becomes impossible
+            np.put(part, at, part.take(at) + np.float32(RATE * 0.92))
+            self.tables[k][self.ctx[k]] = part
+        w *= np.float32(0.94) / (w[0] + w[1] + w[2])
+        w += np.float32(0.02)
+        four = ids.astype(np.int32) << 2
+        for slot, got, where in ((self.slot1, self.got1, self.at1), (self.slot2, self.got2, self.at2)):
+            slot[where] = np.where(got & -4 == four, np.minimum(got + 1, four + 3), four)
         self.prev2[:n], self.prev1[:n] = self.prev1[:n], ids
 
 
@@ -98,12 +104,11 @@ class _Encoder:
     def code(self, at: np.ndarray, start: np.ndarray, freq: np.ndarray, total: np.ndarray | int) -> None:
         r = self.range[at] // np.asarray(total, np.uint64)
         low, rng = self.low[at] + start.astype(np.uint64) * r, freq.astype(np.uint64) * r
-        todo = np.arange(len(at))
+        todo = np.flatnonzero(rng < _TOP)  # with more left, no more than the carry into the top word can settle
         while len(todo):
             x, y = low[todo], rng[todo]
-            short = y < _BOTTOM
             flat = (x ^ (x + y)) < _TOP
-            cut = short & ~flat
+            cut = (y < _BOTTOM) & ~flat
             y = np.where(cut, (~x + np.uint64(1)) & (_BOTTOM - np.uint64(1)), y)
             go = flat | cut
             todo, x, y = todo[go], x[go], y[go]
@@ -139,12 +144,11 @@ class _Decoder:
 
     def take(self, at: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
         low, rng, code = self.low[at] + start.astype(np.uint64) * self.unit, freq.astype(np.uint64) * self.unit, self.code[at]
-        todo = np.arange(len(at))
+        todo = np.flatnonzero(rng < _TOP)  # with more left, no more than the carry into the top word can settle
         while len(todo):
             x, y = low[todo], rng[todo]
-            short = y < _BOTTOM
             flat = (x ^ (x + y)) < _TOP
-            cut = short & ~flat
+            cut = (y < _BOTTOM) & ~flat
             y = np.where(cut, (~x + np.uint64(1)) & (_BOTTOM - np.uint64(1)), y)
             go = flat | cut
             todo, x, y = todo[go], x[go], y[go]
@@ -188,8 +192,9 @@ def encode_blocks(ids: np.ndarray, size: int = BLOCK_IDS) -> list[bytes]:
         p2, p1, cum = model.predict(n)
         outcome = np.where(x == p2, 0, np.where(x == p1, 1, np.where(fresh, 3, 2)))
         at = every[:n]
-        start = cum[at, outcome]
-        coder.code(at, start, cum[at, outcome + 1] - start, _SCALE)
+        flat = cum.ravel()
+        start = flat.take(at * 5 + outcome)
+        coder.code(at, start, flat.take(at * 5 + outcome + 1) - start, _SCALE)
         for kind, value, total in ((2, rank[t, :n], known[:n]), (3, x, None)):
             own = np.flatnonzero(outcome == kind)
             if len(own):
@@ -212,9 +217,10 @@ def decode_blocks(blocks: list[bytes], sizes: list[int]) -> np.ndarray:
         at = every[:n]
         p2, p1, cum = model.predict(n)
         target = coder.target(at, _SCALE)
-        outcome = (target[:, None] >= cum[:, 1:4]).sum(1)
-        start = cum[at, outcome]
-        coder.take(at, start, cum[at, outcome + 1] - start)
+        outcome = (target >= cum[:, 1]).astype(np.int64) + (target >= cum[:, 2]) + (target >= cum[:, 3])
+        flat = cum.ravel()
+        start = flat.take(at * 5 + outcome)
+        coder.take(at, start, flat.take(at * 5 + outcome + 1) - start)
         x = np.where(outcome == 0, p2, p1).astype(np.int64)
         for kind in (2, 3):
             own = np.flatnonzero(outcome == kind)
@@ -263,19 +269,40 @@ class WordEncoder:
     """Ids of whole texts from the ids of their words.
 
     White space separates pre-tokens of this tokenizer and no step looks across it, so each distinct word is encoded
-    once and texts are put together from a bounded store of words. Texts with the separators U+001C to U+001F, which
-    Python alone takes for white space, go through the library as a whole.
+    once, by the library's model for each of its pre-tokens, and texts are put together from a bounded store of words.
+    What could differ there goes through the whole library: words that normalisation may change by more than case or
+    that may hold special tokens, and texts with the separators U+001C to U+001F, which Python alone takes for white
+    space.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        steps = json.loads(self.library.to_str())["pre_tokenizer"]["pretokenizers"]
+        self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed: bytes that the byte level shows as themselves
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids, self.ends = [np.empty(0, np.int64)], [0]
+        self.of_piece: dict[str, list[int]] = {}
+        self.ids, self.ends = np.empty(0, np.int64), np.zeros(1, np.int64)
+
+    def word(self, w: str) -> list[int]:
+        if "<|" in w or not w.isascii() and ("\u03a3" in w or not unicodedata.is_normalized("NFC", w)):
+            return self.library.encode(w, add_special_tokens=False).ids
+        out: list[int] = []
+        for piece in self.pieces(w.lower()):
+            got = self.of_piece.get(piece)
+            if got is None:
+                text = piece if piece.isascii() and piece.isprintable() else "".join(self.shown[b] for b in piece.encode())
+                got = self.of_piece[piece] = [t.id for t in self.library.model.tokenize(text)]
+            out += got
+        return out
 
     def encode(self, texts: list[str], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; token counts)."""
@@ -285,19 +312,14 @@ class WordEncoder:
         if len(self.place) > CACHED_WORDS:
             self.clear()
         fresh = list(dict.fromkeys(w for w in flat if w not in self.place))
-        for lo in range(0, len(fresh), 4096):
-            part = fresh[lo : lo + 4096]
-            coded = [e.ids for e in self.library.encode_batch(part, add_special_tokens=False)]
-            for w, c in zip(part, coded, strict=True):
-                self.place[w] = len(self.ends) - 1
-                self.ends.append(self.ends[-1] + len(c))
-            self.ids.append(np.array([x for c in coded for x in c], np.int64))
-        self.ids = [np.concatenate(self.ids)]
-        ends = np.array(self.ends)
+        coded = list(map(self.word, fresh))
+        self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
+        self.ids = np.concatenate([self.ids, np.array([x for c in coded for x in c], np.int64)])
+        ends = self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))])
         at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
         first, size = ends[at], ends[at + 1] - ends[at]
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[0][np.repeat(first - total[:-1], size) + np.arange(total[-1])]
+        ids = self.ids[np.repeat(first - total[:-1], size) + np.arange(total[-1])]
         stop = np.cumsum([len(w) for w in words])
         counts = np.diff(np.concatenate([[0], total[stop]])) + 1
         ids = np.insert(ids, total[stop], end_id)
@@ -326,11 +348,11 @@ def _writer(path: str):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["first_doc", "docs", "n_ids", "data"])
 
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                got, n = encoder.encode([t or "" for t in b.column(1)[lo : lo + 128].to_pylist()])
+            for lo in range(0, b.num_rows, 512):
+                got, n = encoder.encode([t or "" for t in b.column(1)[lo : lo + 512].to_pylist()])
                 ids.append(got.astype(np.int32))
                 counts.append(n)
-                docs += b.column(0)[lo : lo + 128].to_pylist()
+                docs += b.column(0)[lo : lo + 512].to_pylist()
                 held += len(got)
                 if held >= FILE_IDS:
                     yield close()
