@@ -45,7 +45,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
         .withColumn("_left", F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
         .withColumn("_level", (F.col("_total") - F.col("_full")) / F.col("_left"))
     )
-    level = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.col("_level"))).over(whole)
+    # the first source in this order that its level leaves below its cap
+    level = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_ratio", "_pos", "_level"))).over(whole)["_level"]
     target = F.coalesce(F.least(F.col("_most"), level * F.col("_w")), F.col("_most"))
     return ranked.withColumn("target", target).select(
         "_key", "source_size", "target",
@@ -114,7 +115,7 @@ pos AS (SELECT *, CASE (row_number() OVER (ORDER BY k = 'n', k) - 1) % 3 WHEN 0
 lev AS (SELECT *, 2.0::DOUBLE * source_size AS most,
   (1.5::DOUBLE * SUM(source_size) OVER () - COALESCE(SUM(2.0::DOUBLE * source_size) OVER before, 0)) / (SUM(w) OVER () - COALESCE(SUM(w) OVER before, 0)) AS level
   FROM pos WINDOW before AS (ORDER BY 2.0::DOUBLE * source_size / w, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-tgt AS (SELECT *, COALESCE(LEAST(most, w * (SELECT MIN(level) FROM lev WHERE most / w >= level)), most) AS target FROM lev),
+tgt AS (SELECT *, COALESCE(LEAST(most, w * (SELECT level FROM lev WHERE most / w >= level ORDER BY most / w, p LIMIT 1)), most) AS target FROM lev),
 rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
   ('0x' || substr(md5('mix:' || k), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM tgt),
 salts AS (SELECT GREATEST(1, (COUNT(*) + 49999) // 50000) AS s FROM base),
