@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 #: Segments kept from batch to batch, and characters that are indexed at once.
@@ -291,10 +292,10 @@ def _encoder(path: str):
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                ids = own.encode([t or "" for t in part.column(1).to_pylist()])
+                ids = own.encode([t or "" for t in part.column("text").to_pylist()])
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "text", "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*part.schema.names, "ids"])
 
     return encode
 
@@ -317,9 +318,15 @@ def _digester(path: str):
     return digest
 
 
+def encode_column(docs: DataFrame, path: str) -> DataFrame:
+    """docs with ids (array<int>) of text; an input column of that name goes."""
+    base = docs.drop("ids")
+    return base.mapInArrow(_encoder(path), T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, text and ids (array<int>) of every document."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encoder(path), "doc_id long, text string, ids array<int>")
+    """doc_id, text and ids of every document."""
+    return encode_column(docs.select(F.col("doc_id").cast("long"), "text"), path)
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 THRESHOLD = 0.3
 #: Labelled rows that the model is fitted on, at most.
@@ -199,8 +200,7 @@ def _scorer(model: dict):
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """docs with held_out, score and predicted."""
     base = docs.drop("held_out", "score", "predicted")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), "score double"])
-    scored = base.mapInArrow(_scorer(model), schema)
+    scored = base.mapInArrow(_scorer(model), T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.withColumn("held_out", F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
