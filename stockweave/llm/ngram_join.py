@@ -148,14 +148,29 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+#: Edges that a task holds at most before it reduces them.
+HELD_EDGES = 2_000_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (u, v) of each batch, reduced to a forest of stars around the least nodes."""
-    for b in batches:
-        u, v = b.column(0).to_numpy(), b.column(1).to_numpy()
+    """Edges (u, v), reduced to a forest of stars around the least nodes; in parts of HELD_EDGES."""
+
+    def close(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
         nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
         root = _union(len(nodes), at[: len(u)], at[len(u) :])
         keep = root != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[root[keep]])], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[root[keep]])], names=["u", "v"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= HELD_EDGES:
+            yield close(held)
+            held, n = [], 0
+    if n:
+        yield close(held)
 
 
 def _union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -182,7 +197,14 @@ def components(edges: DataFrame) -> DataFrame:
     Labels spread along edges by minimum and jump along labels, until nothing changes; every round is written to the
     shared folder.
     """
-    edges = staged(edges.where("u != v").select("u", "v").mapInArrow(_forest, "u long, v long").distinct(), "cc-edges")
+    edges = edges.where("u != v").select("u", "v")
+    for _ in range(2):
+        # each node keeps one edge, to its least neighbour; its other neighbours get theirs to that one
+        least = Window.partitionBy("u")
+        near = edges.mapInArrow(_forest, "u long, v long").withColumn("_low", F.min("v").over(least))
+        near = staged(near, "cc-near")
+        edges = near.select("u", F.col("_low").alias("v")).unionByName(near.where("v != _low").select(F.col("v").alias("u"), F.col("_low").alias("v"))).distinct()
+    edges = staged(edges, "cc-edges")
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     both = staged(both, "cc-both")
     labels = staged(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "cc")
@@ -362,7 +384,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     chunks = found.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / F.lit(CHUNK_DOCS)), F.ceil(F.sum("n_shingles") / F.lit(CHUNK_SHINGLES))).cast("int").alias("chunks"))
     found = found.join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     # 3. signature trees
-    texts = found.join(thin, found.rep == thin.doc_id).select("grp", "chunks", "chunk", "rep", "mult", "key", "text")
+    texts = found.hint("merge").join(thin, found.rep == thin.doc_id).select("grp", "chunks", "chunk", "rep", "mult", "key", "text")
     sets = texts.mapInArrow(_sets, "grp long, chunks int, chunk int, rep long, mult long, key binary, found binary, tokens binary").where("key = found").dropDuplicates(["key"])
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     paired = sets.select("grp", "chunk", "rep", "mult", "tokens", other).select(
