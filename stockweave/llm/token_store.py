@@ -386,6 +386,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     starts = files.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
     docs = files.select("file", "docs", "data").mapInArrow(_read, "file long, doc_id long, place long, n_tokens long, ids_crc32 long")
+    docs = staged(docs, "token-docs")  # decoded once, whatever the join's strategy becomes
     return docs.join(starts, "file").select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
