@@ -437,7 +437,7 @@ def csv_scan(spark, sf):
     part = t.table(spark, sf, "part").select(F.col("p_partkey").alias("Item#"), F.col("p_name").alias("Description"), F.col("p_type").alias("Footprint"), F.col("p_size").alias("Qty"))
     files.write_many(part, folder)
     cells = files.read_cells(spark, f"{folder}/*.csv")
-    return normalize.normalize_cells(cells.drop("file").withColumn("file", cells.file), ["file", "row_index"]).select("part_number", "description", "package", "quantity")
+    return normalize.normalize_cells(cells, ["file", "row_index"]).select("part_number", "description", "package", "quantity")
 
 
 @query("SELECT n_name AS description, n_nationkey::VARCHAR AS quantity FROM nation")
