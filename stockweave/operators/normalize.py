@@ -45,8 +45,11 @@ def normalize(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def normalize_cells(cells: DataFrame, row: list[str]) -> DataFrame:
-    """The same for long rows (row..., col_pos, col_name, value), whose headers are data; one shuffle, by row."""
-    ordered = cells.withColumn("_header", resolve_column(F.col("col_name"))).groupBy(*row).agg(
+    """The same for long rows (row..., col_pos, col_name, value), whose headers are data; one shuffle of the cells, by row."""
+    # names repeat in every row, so each is resolved once
+    names = cells.select("col_name").distinct().withColumn("_header", resolve_column(F.col("col_name")))
+    known = names.select(F.col("col_name").alias("_name"), "_header")
+    ordered = cells.join(known, F.col("col_name").eqNullSafe(F.col("_name")), "left").groupBy(*row).agg(
         F.array_sort(F.collect_list(F.struct("col_pos", "col_name", "value", "_header"))).alias("_cells")
     )
 
