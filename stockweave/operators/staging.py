@@ -5,19 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet under spark.checkpoint.dir and read back: computed once, and safe from lost executors.
-
-    Where the session has no such folder (tests, local use) a new local one is set.
-    """
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where the session has none (tests, local use) a new local folder is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="stockweave-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read back: computed once, and safe from lost executors."""
+    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from stockweave import catalog
 from stockweave.functions import refdes, text, units
 from stockweave.operators import diff, events, headers, normalize, profile, resolve, store
+from stockweave.operators.staging import shared_root
 from stockweave.plans import testdata as t
 from stockweave.sources import files
 
@@ -427,8 +429,7 @@ def usage_resolution_empty_context(spark, sf):
 
 
 def _folder(spark, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=shared.removeprefix("file://") if shared and shared.startswith(("/", "file:/")) else None)
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT p_partkey::VARCHAR AS part_number, p_name AS description, p_type AS package, p_size::VARCHAR AS quantity FROM part")
@@ -442,7 +443,8 @@ def csv_scan(spark, sf):
 
 @query("SELECT n_name AS description, n_nationkey::VARCHAR AS quantity FROM nation")
 def export_roundtrip(spark, sf):
-    folder = _folder(spark, "export")
+    folder = _folder(spark, "export").removeprefix("file://")  # one file, written by the driver
+    os.makedirs(folder)
     rows = t.table(spark, sf, "nation").select(F.col("n_nationkey").alias("row_index"), F.col("n_name").alias("description"), F.col("n_nationkey").cast("string").alias("quantity"))
     path = files.export(rows, f"{folder}/bom.xlsx")
     return files.parse(spark, path).select("description", "quantity")
