@@ -129,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     counts of tokens that pass the first test, and each sampled row's votes."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     known = known.where(remainder(F.col("doc_id")) != 2).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(known, "doc_id").select(F.col("_toxic").cast("int").alias("toxic"), "text").where("toxic IN (0, 1)").persist()
+    # TRAIN_ROWS bounds the broadcast, so no text is shuffled
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("_toxic").cast("int").alias("toxic"), "text").where("toxic IN (0, 1)").persist()
     try:
         total = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if not total.get(1) or not total.get(0):
