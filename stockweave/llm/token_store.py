@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from stockweave.llm.common import staged
 
-MAGIC = b"SWTOKCM1"
+MAGIC = b"SWTOKCM2"
 BLOCK_IDS = 2048
 #: A file is closed at so many ids; it then has so many / BLOCK_IDS lanes.
 FILE_IDS = 6_000_000
@@ -38,62 +38,100 @@ END_ID = 1
 VOCABULARY = 1 << 16
 SLOT_BITS = 11
 CACHED_WORDS = 600_000
-#: Share of a model's probability that goes to what has just come.
-RATE = 1 / 16
+#: The model changes every PERIOD ids; counts are halved above MOST.
+PERIOD = 32
+MOST = 1 << 10
 
 _TOP, _BOTTOM, _SHIFT, _WORD = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16), np.uint64(48)
 _SCALE = 1 << 16
 
 
 class _Lanes:
-    """Model of all blocks of a file: predictions and mixed outcome probabilities for the next id of each lane."""
+    """Model of all blocks of a file: predictions and mixed outcome probabilities for the next id of each lane.
+
+    Counts and scores are integers and change every PERIOD ids only; each context's mixed frequencies are then worked
+    out at once, so that an id costs look-ups and no mixing.
+    """
 
     def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
+        self.lanes, self.base = lanes, np.arange(lanes, dtype=np.int64) << SLOT_BITS
         size = lanes << SLOT_BITS
         # slots: the predicted id times 4, plus 0 to 3 for how often in a row it has been right
         self.slot1, self.slot2 = np.full(size, -4, np.int32), np.full(size, -4, np.int32)
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.tables = [np.full((lanes * 8, 4), 0.25, np.float32) for _ in range(3)]
-        self.weight = np.full((3, lanes), 1 / 3, np.float32)
-        self.row = np.arange(lanes)
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the first n lanes: order-2 and order-1 predictions, and the outcomes' cumulative frequencies (n, 5)."""
-        a = self.prev1[:n] * 2654435761
+        self.hash1, self.hash2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        # outcomes by order-2 context (8), by order-1 context (2), and by nothing
+        self.counts = [np.ones((lanes, 8, 1, 4), np.int32), np.ones((lanes, 1, 2, 4), np.int32), np.ones((lanes, 1, 1, 4), np.int32)]
+        self.score = np.full((3, lanes), 1 << 16, np.int64)
+        self.row = np.arange(lanes, dtype=np.int64) << 4
+        self.seen, self.t = np.zeros((PERIOD, lanes), np.int64), 0
+        self._mix([np.full(c.shape, 0.25, np.float32) for c in self.counts])
+
+    def _mix(self, parts: list[np.ndarray]) -> None:
+        self.parts = parts
+        w = (self.score * self.score).astype(np.float32)
+        w = (w / (w[0] + w[1] + w[2]) * np.float32(_SCALE - 512))[:, :, None, None, None]
+        self.freq = (w[0] * parts[0] + w[1] * parts[1] + w[2] * parts[2]).astype(np.int64) + 32
+        self.start = np.zeros_like(self.freq)
+        np.cumsum(self.freq[..., :3], axis=-1, out=self.start[..., 1:])
+        self.freq[..., 3] = _SCALE - self.start[..., 3]
+        self.freq, self.start = self.freq.ravel(), self.start.ravel()
+        self.bounds = [np.ascontiguousarray(self.start[k::4]) for k in (1, 2, 3)]
+
+    def _adapt(self) -> None:
+        new = np.bincount(self.seen[: self.t].ravel(), minlength=self.lanes << 6).astype(np.int32).reshape(-1, 8, 2, 4)
+        new = [new.sum(2, dtype=np.int32, keepdims=True), (one := new.sum(1, dtype=np.int32, keepdims=True)), one.sum(2, dtype=np.int32, keepdims=True)]
+        parts = []
+        for k, (n, c) in enumerate(zip(new, self.counts, strict=True)):
+            gain = (n * (self.parts[k] * np.float32(1 << 10)).astype(np.int32)).sum((1, 2, 3), dtype=np.int64)
+            self.score[k] += gain - (self.score[k] >> 3) + 1
+            c += n * 4
+            total = c.sum(-1, dtype=np.int32, keepdims=True)
+            c[:] = np.where(total > MOST, (c + 1) >> 1, c)
+            parts.append(c.astype(np.float32) / c.sum(-1, dtype=np.int32, keepdims=True).astype(np.float32))
+        self.t = 0
+        self._mix(parts)
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the first n lanes: order-2 and order-1 predictions; self.at is then each lane's place in the tables."""
         mask = (1 << SLOT_BITS) - 1
-        self.at1 = self.base[:n] + (a >> 7 & mask)
-        self.at2 = self.base[:n] + (a + self.prev2[:n] * 2654435787 >> 9 & mask)
+        self.at1 = self.base[:n] + (self.hash1[:n] >> 7 & mask)
+        self.at2 = self.base[:n] + (self.hash1[:n] + self.hash2[:n] >> 9 & mask)
         self.got1, self.got2 = self.slot1.take(self.at1), self.slot2.take(self.at2)
         p1, p2 = self.got1 >> 2, self.got2 >> 2
-        row = self.row[:n] << 3
-        self.ctx = row + (self.got2 & 3) + ((p1 == p2) << 2), row + (self.got1 & 3), row
-        self.parts = [t.take(c, axis=0) for t, c in zip(self.tables, self.ctx, strict=True)]
-        w = self.weight[:, :n, None]
-        mixed = w[0] * self.parts[0] + w[1] * self.parts[1] + w[2] * self.parts[2]
-        freq = (mixed * np.float32(_SCALE - 512)).astype(np.int64) + 32
-        cum = np.zeros((n, 5), np.int64)
-        cum[:, 1] = freq[:, 0]
-        np.add(cum[:, 1], freq[:, 1], out=cum[:, 2])
-        np.add(cum[:, 2], freq[:, 2], out=cum[:, 3])
-        cum[:, 4] = _SCALE
-        return p2, p1, cum
+        self.at = self.row[:n] + ((self.got2 & 3) << 1 | (p1 == p2).view(np.int8).astype(np.int32) << 3 | self.got1 >> 1 & 1)
+        return p2, p1
 
     def learn(self, n: int, ids: np.ndarray, outcome: np.ndarray) -> None:
-        at = (self.row[:n] << 2) + outcome
-        w = self.weight[:, :n]
-        for k, part in enumerate(self.parts):
-            w[k] *= part.take(at)
-            part *= np.float32(1 - RATE)
-            part += np.float32(RATE * 0.02)  # no outcome becomes impossible
-            np.put(part, at, part.take(at) + np.float32(RATE * 0.92))
-            self.tables[k][self.ctx[k]] = part
-        w *= np.float32(0.94) / (w[0] + w[1] + w[2])
-        w += np.float32(0.02)
+        self.seen[self.t, :n] = (self.at << 2) + outcome
+        self.t += 1
         four = ids.astype(np.int32) << 2
         for slot, got, where in ((self.slot1, self.got1, self.at1), (self.slot2, self.got2, self.at2)):
-            slot[where] = np.where(got & -4 == four, np.minimum(got + 1, four + 3), four)
-        self.prev2[:n], self.prev1[:n] = self.prev1[:n], ids
+            run = got ^ four  # below 4 if the slot was right
+            slot[where] = four | _NEXT.take(np.minimum(run.view(np.uint32), np.uint32(4)))
+        np.multiply(self.hash1[:n], 31, out=self.hash2[:n])
+        np.multiply(ids, 2654435761, out=self.hash1[:n])
+        if self.t == PERIOD:
+            self._adapt()
+
+
+#: How often in a row a slot has been right, after 0 to 3 times and a hit, and after a miss.
+_NEXT = np.array([1, 2, 3, 3, 0], np.int32)
+
+
+def _narrow(low: np.ndarray, rng: np.ndarray, move) -> None:
+    """Shift settled words out of ranges that are too small; move(lanes, low) takes or gives the words."""
+    todo = np.flatnonzero(rng < _TOP)  # with more left, no more than the carry into the top word can settle
+    while len(todo):
+        x, y = low[todo], rng[todo]
+        flat = (x ^ (x + y)) < _TOP
+        cut = (y < _BOTTOM) & ~flat
+        if cut.any():
+            y = np.where(cut, (~x + np.uint64(1)) & (_BOTTOM - np.uint64(1)), y)
+        go = flat | cut
+        todo, x, y = todo[go], x[go], y[go]
+        move(todo, x)
+        low[todo], rng[todo] = x << _SHIFT, (y := y << _SHIFT)
+        todo = todo[y < _TOP]
 
 
 class _Encoder:
@@ -101,22 +139,21 @@ class _Encoder:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
         self.out, self.n = np.zeros((lanes, 2 * ids + 16), ">u2"), np.zeros(lanes, np.int64)
 
-    def code(self, at: np.ndarray, start: np.ndarray, freq: np.ndarray, total: np.ndarray | int) -> None:
-        r = self.range[at] // np.asarray(total, np.uint64)
-        low, rng = self.low[at] + start.astype(np.uint64) * r, freq.astype(np.uint64) * r
-        todo = np.flatnonzero(rng < _TOP)  # with more left, no more than the carry into the top word can settle
-        while len(todo):
-            x, y = low[todo], rng[todo]
-            flat = (x ^ (x + y)) < _TOP
-            cut = (y < _BOTTOM) & ~flat
-            y = np.where(cut, (~x + np.uint64(1)) & (_BOTTOM - np.uint64(1)), y)
-            go = flat | cut
-            todo, x, y = todo[go], x[go], y[go]
-            lanes = at[todo]
-            self.out[lanes, self.n[lanes]] = (x >> _WORD).astype(np.uint16)
-            self.n[lanes] += 1
-            low[todo], rng[todo] = x << _SHIFT, y << _SHIFT
-        self.low[at], self.range[at] = low, rng
+    def code(self, n: int, start: np.ndarray, freq: np.ndarray, own: np.ndarray, value: np.ndarray, total: np.ndarray) -> None:
+        """The outcomes of the first n lanes, and for the lanes own also a value below total."""
+        low, rng = self.low[:n], self.range[:n]
+        rng >>= _SHIFT
+        low += start.astype(np.uint64) * rng
+        rng *= freq.astype(np.uint64)
+        unit = rng[own] // total.astype(np.uint64)
+        low[own] += value.astype(np.uint64) * unit
+        rng[own] = unit
+        _narrow(low, rng, self._put)
+
+    def _put(self, lanes: np.ndarray, low: np.ndarray) -> None:
+        at = self.n[lanes]
+        self.out[lanes, at] = low >> _WORD
+        self.n[lanes] = at + 1
 
     def finish(self) -> list[bytes]:
         for _ in range(4):
@@ -129,7 +166,7 @@ class _Encoder:
 class _Decoder:
     def __init__(self, blocks: list[bytes]):
         lanes, most = len(blocks), max(map(len, blocks)) // 2
-        self.words = np.zeros((lanes, most + 8), np.uint64)
+        self.words = np.zeros((lanes, most + 8), np.uint16)
         for i, b in enumerate(blocks):
             self.words[i, : len(b) // 2] = np.frombuffer(b, ">u2")
         self.low, self.range, self.code = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64), np.zeros(lanes, np.uint64)
@@ -137,26 +174,27 @@ class _Decoder:
         for k in range(4):
             self.code = self.code << _SHIFT | self.words[:, k]
 
-    def target(self, at: np.ndarray, total: np.ndarray | int) -> np.ndarray:
-        total = np.asarray(total, np.uint64)
-        self.unit = self.range[at] // total
-        return np.minimum((self.code[at] - self.low[at]) // self.unit, total - np.uint64(1)).astype(np.int64)
-
-    def take(self, at: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        low, rng, code = self.low[at] + start.astype(np.uint64) * self.unit, freq.astype(np.uint64) * self.unit, self.code[at]
-        todo = np.flatnonzero(rng < _TOP)  # with more left, no more than the carry into the top word can settle
-        while len(todo):
-            x, y = low[todo], rng[todo]
-            flat = (x ^ (x + y)) < _TOP
-            cut = (y < _BOTTOM) & ~flat
-            y = np.where(cut, (~x + np.uint64(1)) & (_BOTTOM - np.uint64(1)), y)
-            go = flat | cut
-            todo, x, y = todo[go], x[go], y[go]
-            lanes = at[todo]
-            code[todo] = code[todo] << _SHIFT | self.words[lanes, self.n[lanes]]
-            self.n[lanes] += 1
-            low[todo], rng[todo] = x << _SHIFT, y << _SHIFT
-        self.low[at], self.range[at], self.code[at] = low, rng, code
+    def target(self, n: int) -> np.ndarray:
+        self.range[:n] >>= _SHIFT
+        return np.minimum((self.code[:n] - self.low[:n]) // self.range[:n], np.uint64(_SCALE - 1)).astype(np.int64)
+
+    def take(self, n: int, start: np.ndarray, freq: np.ndarray, own: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Take the outcomes of the first n lanes; returns the values below total of the lanes own."""
+        low, rng = self.low[:n], self.range[:n]
+        low += start.astype(np.uint64) * rng
+        rng *= freq.astype(np.uint64)
+        total = total.astype(np.uint64)
+        unit, base = rng[own] // total, low[own]
+        value = np.minimum((self.code[own] - base) // unit, total - np.uint64(1))
+        low[own] = base + value * unit
+        rng[own] = unit
+        _narrow(low, rng, self._get)
+        return value.astype(np.int64)
+
+    def _get(self, lanes: np.ndarray, low: np.ndarray) -> None:
+        at = self.n[lanes]
+        self.code[lanes] = self.code[lanes] << _SHIFT | self.words[lanes, at]
+        self.n[lanes] = at + 1
 
 
 def _live(sizes: np.ndarray, t: int) -> int:
@@ -185,20 +223,15 @@ def encode_blocks(ids: np.ndarray, size: int = BLOCK_IDS) -> list[bytes]:
         grid[: len(b), i] = b
         new[: len(b), i], rank[: len(b), i] = _appearance(b)
     model, coder, known = _Lanes(len(blocks)), _Encoder(len(blocks), size), np.zeros(len(blocks), np.int64)
-    every = np.arange(len(blocks))
     for t in range(sizes.max()):
         n = _live(sizes, t)
         x, fresh = grid[t, :n], new[t, :n]
-        p2, p1, cum = model.predict(n)
-        outcome = np.where(x == p2, 0, np.where(x == p1, 1, np.where(fresh, 3, 2)))
-        at = every[:n]
-        flat = cum.ravel()
-        start = flat.take(at * 5 + outcome)
-        coder.code(at, start, flat.take(at * 5 + outcome + 1) - start, _SCALE)
-        for kind, value, total in ((2, rank[t, :n], known[:n]), (3, x, None)):
-            own = np.flatnonzero(outcome == kind)
-            if len(own):
-                coder.code(own, value[own], np.ones(len(own), np.int64), VOCABULARY if total is None else total[own])
+        p2, p1 = model.predict(n)
+        outcome = np.where(x == p2, 0, np.where(x == p1, 1, 2 + fresh))
+        at = (model.at << 2) + outcome
+        own = np.flatnonzero(outcome > 1)
+        new_id = outcome[own] == 3
+        coder.code(n, model.start.take(at), model.freq.take(at), own, np.where(new_id, x[own], rank[t].take(own)), np.where(new_id, VOCABULARY, known[own]))
         known[:n] += fresh
         model.learn(n, x, outcome)
     return coder.finish()
@@ -211,24 +244,20 @@ def decode_blocks(blocks: list[bytes], sizes: list[int]) -> np.ndarray:
     most = sizes.max()
     model, coder = _Lanes(len(blocks)), _Decoder(blocks)
     grid, seen, known = np.zeros((most, len(blocks)), np.int64), np.zeros((len(blocks), most), np.int64), np.zeros(len(blocks), np.int64)
-    every = np.arange(len(blocks))
     for t in range(most):
         n = _live(sizes, t)
-        at = every[:n]
-        p2, p1, cum = model.predict(n)
-        target = coder.target(at, _SCALE)
-        outcome = (target >= cum[:, 1]).astype(np.int64) + (target >= cum[:, 2]) + (target >= cum[:, 3])
-        flat = cum.ravel()
-        start = flat.take(at * 5 + outcome)
-        coder.take(at, start, flat.take(at * 5 + outcome + 1) - start)
+        p2, p1 = model.predict(n)
+        target = coder.target(n)
+        outcome = np.zeros(n, np.int64)
+        for bound in model.bounds:
+            outcome += target >= bound.take(model.at)
+        at = (model.at << 2) + outcome
+        own = np.flatnonzero(outcome > 1)
+        new_id = outcome[own] == 3
+        value = coder.take(n, model.start.take(at), model.freq.take(at), own, np.where(new_id, VOCABULARY, known[own]))
         x = np.where(outcome == 0, p2, p1).astype(np.int64)
-        for kind in (2, 3):
-            own = np.flatnonzero(outcome == kind)
-            if len(own):
-                value = coder.target(own, known[own] if kind == 2 else VOCABULARY)
-                coder.take(own, value, np.ones(len(own), np.int64))
-                x[own] = seen[own, value] if kind == 2 else value
-        fresh = np.flatnonzero(outcome == 3)
+        x[own] = np.where(new_id, value, seen[own, np.where(new_id, 0, value)])
+        fresh = own[new_id]
         seen[fresh, known[fresh]] = x[fresh]
         known[fresh] += 1
         model.learn(n, x, outcome)
