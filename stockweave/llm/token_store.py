@@ -22,6 +22,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,13 @@ from stockweave.llm.common import staged
 MAGIC = b"SWTOKCM2"
 BLOCK_IDS = 2048
 #: A file is closed at so many ids; it then has so many / BLOCK_IDS lanes.
-FILE_IDS = 6_000_000
+FILE_IDS = 3_000_000
 END_ID = 1
 VOCABULARY = 1 << 16
 SLOT_BITS = 11
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 #: The model changes every PERIOD ids; counts are halved above MOST.
-PERIOD = 32
+PERIOD = 64
 MOST = 1 << 10
 
 _TOP, _BOTTOM, _SHIFT, _WORD = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16), np.uint64(48)
@@ -79,15 +80,15 @@ class _Lanes:
 
     def _adapt(self) -> None:
         new = np.bincount(self.seen[: self.t].ravel(), minlength=self.lanes << 6).astype(np.int32).reshape(-1, 8, 2, 4)
-        new = [new.sum(2, dtype=np.int32, keepdims=True), (one := new.sum(1, dtype=np.int32, keepdims=True)), one.sum(2, dtype=np.int32, keepdims=True)]
+        two, one = new[:, :, :1] + new[:, :, 1:], sum(new[:, k : k + 1] for k in range(8))
+        new = [two, one, one[:, :, :1] + one[:, :, 1:]]
         parts = []
         for k, (n, c) in enumerate(zip(new, self.counts, strict=True)):
             gain = (n * (self.parts[k] * np.float32(1 << 10)).astype(np.int32)).sum((1, 2, 3), dtype=np.int64)
             self.score[k] += gain - (self.score[k] >> 3) + 1
             c += n * 4
-            total = c.sum(-1, dtype=np.int32, keepdims=True)
-            c[:] = np.where(total > MOST, (c + 1) >> 1, c)
-            parts.append(c.astype(np.float32) / c.sum(-1, dtype=np.int32, keepdims=True).astype(np.float32))
+            c[:] = np.where(_total(c) > MOST, (c + 1) >> 1, c)
+            parts.append(c.astype(np.float32) / _total(c).astype(np.float32))
         self.t = 0
         self._mix(parts)
 
@@ -114,6 +115,10 @@ class _Lanes:
             self._adapt()
 
 
+def _total(c: np.ndarray) -> np.ndarray:
+    return c[..., :1] + c[..., 1:2] + c[..., 2:3] + c[..., 3:]
+
+
 #: How often in a row a slot has been right, after 0 to 3 times and a hit, and after a miss.
 _NEXT = np.array([1, 2, 3, 3, 0], np.int32)
 
@@ -202,14 +207,13 @@ def _live(sizes: np.ndarray, t: int) -> int:
     return len(sizes) if t < sizes[-1] else len(sizes) - 1
 
 
-def _appearance(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a block: whether each id is new, and its number in order of first appearance."""
-    _, first, back = np.unique(ids, return_index=True, return_inverse=True)
-    rank = np.empty(len(first), np.int64)
-    rank[np.argsort(first)] = np.arange(len(first))
-    new = np.zeros(len(ids), bool)
-    new[first] = True
-    return new, rank[back]
+def _appearance(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a block: whether each id is new, and its number in order of first appearance. first is scratch, by id."""
+    place = np.arange(len(ids))
+    first[ids[::-1]] = place[::-1]
+    at = first[ids]
+    new = at == place
+    return new, (np.cumsum(new) - 1)[at]
 
 
 def encode_blocks(ids: np.ndarray, size: int = BLOCK_IDS) -> list[bytes]:
@@ -219,9 +223,10 @@ def encode_blocks(ids: np.ndarray, size: int = BLOCK_IDS) -> list[bytes]:
         return []
     sizes = np.array([len(b) for b in blocks])
     grid, new, rank = np.zeros((size, len(blocks)), np.int64), np.zeros((size, len(blocks)), bool), np.zeros((size, len(blocks)), np.int64)
+    first = np.empty(VOCABULARY, np.int64)
     for i, b in enumerate(blocks):
         grid[: len(b), i] = b
-        new[: len(b), i], rank[: len(b), i] = _appearance(b)
+        new[: len(b), i], rank[: len(b), i] = _appearance(b, first)
     model, coder, known = _Lanes(len(blocks)), _Encoder(len(blocks), size), np.zeros(len(blocks), np.int64)
     for t in range(sizes.max()):
         n = _live(sizes, t)
@@ -309,6 +314,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         steps = json.loads(self.library.to_str())["pre_tokenizer"]["pretokenizers"]
         self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed: bytes that the byte level shows as themselves
@@ -322,17 +328,22 @@ class WordEncoder:
         self.ids, self.ends = np.empty(0, np.int64), np.zeros(1, np.int64)
 
     def word(self, w: str) -> list[int]:
+        if w.isalpha() and w.isascii():  # one pre-token
+            return self.piece(w.lower())
         if "<|" in w or not w.isascii() and ("\u03a3" in w or not unicodedata.is_normalized("NFC", w)):
             return self.library.encode(w, add_special_tokens=False).ids
         out: list[int] = []
         for piece in self.pieces(w.lower()):
-            got = self.of_piece.get(piece)
-            if got is None:
-                text = piece if piece.isascii() and piece.isprintable() else "".join(self.shown[b] for b in piece.encode())
-                got = self.of_piece[piece] = [t.id for t in self.library.model.tokenize(text)]
-            out += got
+            out += self.piece(piece)
         return out
 
+    def piece(self, piece: str) -> list[int]:
+        got = self.of_piece.get(piece)
+        if got is None:
+            text = piece if piece.isascii() and piece.isprintable() else "".join(map(self.shown.__getitem__, piece.encode()))
+            got = self.of_piece[piece] = [t.id for t in self.model.tokenize(text)]
+        return got
+
     def encode(self, texts: list[str], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; token counts)."""
         odd = {i: t for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
@@ -340,7 +351,7 @@ class WordEncoder:
         flat = [w for ws in words for w in ws]
         if len(self.place) > CACHED_WORDS:
             self.clear()
-        fresh = list(dict.fromkeys(w for w in flat if w not in self.place))
+        fresh = list(set(flat).difference(self.place))
         coded = list(map(self.word, fresh))
         self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
         self.ids = np.concatenate([self.ids, np.array([x for c in coded for x in c], np.int64)])
@@ -361,12 +372,18 @@ class WordEncoder:
         return ids, counts
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """A worker process keeps its encoder, with the words it has met, for its next tasks."""
+    return WordEncoder(path)
+
+
 def _writer(path: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(path)
+        encoder = _encoder(path)
         docs: list = []
         ids, counts, held = [], [], 0
 
