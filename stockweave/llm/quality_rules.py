@@ -88,9 +88,9 @@ def host_verdicts(measured: DataFrame, host: str = "source", limit: float = HOST
     # the variance between hosts, less what sampling alone gives; at least a little, at most that of a flat prior
     spread = F.greatest(F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("inv"), F.lit(1e-4))
     weight = F.greatest(F.least(F.col("m") * (1 - F.col("m")) / spread - 1, F.lit(1000.0)), F.lit(2.0))
-    prior = prior.select((F.col("m") * weight).alias("a"), ((1 - F.col("m")) * weight).alias("b"))
-    shrunk = (F.col("host_failed") + F.col("a")) / (F.col("host_docs") + F.col("a") + F.col("b"))
-    return hosts.join(F.broadcast(prior)).withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") >= limit).drop("a", "b")  # the prior is one row
+    prior = prior.select(F.struct((F.col("m") * weight).alias("a"), ((1 - F.col("m")) * weight).alias("b")))
+    shrunk = (F.col("host_failed") + F.col("_prior.a")) / (F.col("host_docs") + F.col("_prior.a") + F.col("_prior.b"))
+    return hosts.withColumn("_prior", prior.scalar()).withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") >= limit).drop("_prior")
 
 
 def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
