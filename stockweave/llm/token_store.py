@@ -3,9 +3,9 @@
 Each id is first coded as one of four outcomes: it is the order-2 prediction (what followed the last two ids before),
 the order-1 prediction, an id that the block has had (order 0: its number in order of appearance follows), or a new
 one (the id follows). Three adaptive models give the outcomes' probabilities, by the confidence of the order-2 slot, by
-that of the order-1 slot, and by nothing; they are mixed with weights that follow how well each has done. Every block
-starts from the same state and has a CRC-32 of its ids, so blocks are read alone. Blocks of a file are coded side by
-side, one lane of a numpy vector each.
+that of the order-1 slot, and by nothing; they are mixed with weights that follow how well each has done. Counts and
+weights change every PERIOD ids. Every block starts from the same state and has a CRC-32 of its ids, so blocks are read
+alone. Blocks of a file are coded side by side, one lane of a numpy vector each.
 
 A file is a header, the block table (ids, bytes, CRC-32), the documents' token counts and the blocks. Files are rows of
 a table in the shared folder, in ascending order of doc_id; a document's start is its place in the file plus the ids of
@@ -38,7 +38,7 @@ FILE_IDS = 3_000_000
 END_ID = 1
 VOCABULARY = 1 << 16
 SLOT_BITS = 11
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 #: The model changes every PERIOD ids; counts are halved above MOST.
 PERIOD = 64
 MOST = 1 << 10
