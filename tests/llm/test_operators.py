@@ -288,3 +288,13 @@ def test_mixing(spark):
     again = mixing.with_copies(docs.repartition(7)).collect()
     assert {r.doc_id: r.copies for r in again} == {r.doc_id: r.copies for r in got}
     assert mixing.mix(docs).count() == sum(r.copies for r in got)
+
+
+def test_token_blocks_of_any_shape():
+    rng = np.random.default_rng(0)
+    sources = [rng.integers(0, 65536, 3000), np.zeros(5000, int), rng.integers(0, 3, 4097), np.tile(rng.integers(0, 49408, 7), 600), np.minimum(rng.zipf(1.3, 2500), 65535)]
+    for ids in sources:
+        for size in (1, 64, 300, 2048):
+            blocks = token_store.encode_blocks(ids, size)
+            assert (token_store.decode_blocks(blocks, [min(size, len(ids) - i) for i in range(0, len(ids), size)]) == ids).all()
+    assert token_store.decode_blocks(token_store.encode_blocks(np.empty(0, int)), []).size == 0
