@@ -1,6 +1,7 @@
 """Exact n-gram Jaccard self-join of documents, with signature trees, and the groups that its links form.
 
-A document is the set of its distinct 4-word shingles (as 64-bit hashes). Documents with equal sets are one class and
+A document is the set of its distinct n-word shingles (as 64-bit hashes). The length n and the similarity from which two
+sets are linked are parameters; op3 takes SHINGLE words and PART hundredths. Documents with equal sets are one class and
 take part in the join once. The join has four steps:
 
 1. Blocks. The hash space is cut into k intervals; two sets that differ in d shingles agree on at least k - d of them.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from stockweave.llm.common import staged
 
 SHINGLE = 4
-#: Two sets are linked when PER * intersection >= PART * union.
+#: Two sets are linked when PER * intersection >= part * union; op3's part is PART.
 PART, PER = 85, 100
 #: Sizes of one class lie within this factor.
 CLASS_FACTOR = 1.5
@@ -81,22 +82,22 @@ def size_class(n: int) -> int:
     return c
 
 
-def _differ(a: int, b: int) -> int:
+def _differ(a: int, b: int, part: int) -> int:
     """Most shingles in which linked sets of these sizes can differ."""
-    return (a + b) * (PER - PART) // (PER + PART)
+    return (a + b) * (PER - part) // (PER + part)
 
 
 @lru_cache(maxsize=65536)
-def _schemes(n: int) -> tuple[tuple[int, int, int], ...]:
+def _schemes(n: int, part: int) -> tuple[tuple[int, int, int], ...]:
     """(class, intervals, most differing shingles) for each class in which a set of n shingles can meet a partner."""
-    most = n * PER // PART
-    if n == 0 or _differ(n, most) == 0:
+    most = n * PER // part
+    if n == 0 or _differ(n, most, part) == 0:
         return ()
     out = []
     for c in range(size_class(n), size_class(most) + 1):
         top = _class_top(c)
-        d = _differ(top, top)
-        out.append((c, d + 1 + max(2, d // 6), _differ(n, min(top, most))))
+        d = _differ(top, top, part)
+        out.append((c, d + 1 + max(2, d // 6), _differ(n, min(top, most), part)))
     return tuple(out)
 
 
@@ -105,12 +106,12 @@ def _edges(k: int) -> np.ndarray:
     return np.array([i * 2**64 // k for i in range(1, k)], _U)
 
 
-def signatures(h: np.ndarray) -> tuple[np.ndarray, int, int]:
+def signatures(h: np.ndarray, part: int = PART) -> tuple[np.ndarray, int, int]:
     """Signatures of a sorted set, and how many of its even and odd classes' ones must meet others."""
     found, need = [], [1, 1]
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, _U), np.cumsum(_mix(h + _U(0x632BE59BD9B4E019)))])
-        for c, k, d in _schemes(len(h)):
+        for c, k, d in _schemes(len(h), part):
             at = np.concatenate([[0], np.searchsorted(h, _edges(k)), [len(h)]])
             full = at[1:] > at[:-1]
             least = k - d - int(k - full.sum())
@@ -122,7 +123,7 @@ def signatures(h: np.ndarray) -> tuple[np.ndarray, int, int]:
     return (np.concatenate(found) if found else np.empty(0, _U)), need[0], need[1]
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], shingle: int, part: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     emitted: set[int] = set()  # copies within a task emit their signatures once
@@ -131,10 +132,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(ids), 512):
             rows: dict[str, list] = {k: [] for k in ("n_shingles", "key", "sigs", "need0", "need1")}
             for t in texts[lo : lo + 512].to_pylist():
-                h = shingle_set(t)
+                h = shingle_set(t, shingle)
                 key = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
                 small = int.from_bytes(key[:8], "little") if key else 0
-                sig, a, z = (np.empty(0, _U), 1, 1) if small in emitted or key is None else signatures(h)
+                sig, a, z = (np.empty(0, _U), 1, 1) if small in emitted or key is None else signatures(h, part)
                 if len(emitted) < 4_000_000 and len(sig):
                     emitted.add(small)
                 for k, v in zip(rows, (len(h), key, sig.view(np.int64), a, z), strict=True):
@@ -237,25 +238,25 @@ class SignatureTree:
         return np.maximum.reduceat(maps, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
 
 
-def _can_link(p, i: np.ndarray, q, j: np.ndarray) -> np.ndarray:
+def _can_link(p, i: np.ndarray, q, j: np.ndarray, part: int) -> np.ndarray:
     """Whether sets below nodes i and j can be linked: by their sizes, and by the most overlap that the maps allow."""
     (pm, pl, ph), (qm, ql, qh) = p, q
-    fits = (ph[i] * PER >= ql[j] * PART) & (qh[j] * PER >= pl[i] * PART)
+    fits = (ph[i] * PER >= ql[j] * part) & (qh[j] * PER >= pl[i] * part)
     for lo in range(0, len(i), 4096):
         s = slice(lo, lo + 4096)
         most = np.minimum(pm[i[s]], qm[j[s]]).sum(1)
-        fits[s] &= most * (PER + PART) >= (pl[i[s]] + ql[j[s]]) * PART
+        fits[s] &= most * (PER + part) >= (pl[i[s]] + ql[j[s]]) * part
     return fits
 
 
-def dual_traversal(p: SignatureTree, q: SignatureTree) -> tuple[np.ndarray, np.ndarray]:
+def dual_traversal(p: SignatureTree, q: SignatureTree, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
     """Positions of items in p and q that may be linked; of a tree with itself each pair once."""
     lp, lq = len(p.levels) - 1, len(q.levels) - 1
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
         if p is q:
             i, j = i[i <= j], j[i <= j]
-        fits = _can_link(p.levels[lp], i, q.levels[lq], j)
+        fits = _can_link(p.levels[lp], i, q.levels[lq], j, part)
         i, j = i[fits], j[fits]
         if lp == 0 and lq == 0:
             break
@@ -270,7 +271,7 @@ def dual_traversal(p: SignatureTree, q: SignatureTree) -> tuple[np.ndarray, np.n
     if p is q:
         i, j = i[i < j], j[i < j]
     items = (p.counts, p.sizes, p.sizes), (q.counts, q.sizes, q.sizes)
-    fits = _can_link(items[0], i, items[1], j)
+    fits = _can_link(items[0], i, items[1], j, part)
     return i[fits], j[fits]
 
 
@@ -280,14 +281,14 @@ def _below(i: np.ndarray, j: np.ndarray, fan: int, n: int) -> tuple[np.ndarray,
     return kids[kids < n], other[kids < n]
 
 
-def join_sets(sets: list[np.ndarray], split: int) -> tuple[np.ndarray, np.ndarray]:
+def join_sets(sets: list[np.ndarray], split: int, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs among non-empty sets; with a split, only those across it."""
     n = len(sets)
     if split:
         p, q = SignatureTree(sets, 0, split), SignatureTree(sets, split, n)
     else:
         p = q = SignatureTree(sets, 0, n)
-    i, j = dual_traversal(p, q)
+    i, j = dual_traversal(p, q, part)
     if not len(i):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     order = np.argsort(i, kind="stable")
@@ -306,11 +307,11 @@ def join_sets(sets: list[np.ndarray], split: int) -> tuple[np.ndarray, np.ndarra
             hit = mark[np.concatenate([ids[ends[x] : ends[x + 1]] for x in js])]
             shared[a : a + len(js)] = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes[js])[:-1]]))
         mark[own] = 0
-    linked = shared * PER >= (sizes[i] + sizes[j] - shared) * PART
+    linked = shared * PER >= (sizes[i] + sizes[j] - shared) * part
     return i[linked], j[linked]
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (group, a, b): each (group, a, b) is joined by itself; out come links and a root for each row."""
 
     def close(rows: list[tuple]) -> pa.RecordBatch:
@@ -321,7 +322,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if split == len(rows) or rows[0][1] != rows[0][2] and not split:  # one of the two chunks is empty
             i = j = np.empty(0, np.int64)
         else:
-            i, j = join_sets(sets, split)
+            i, j = join_sets(sets, split, part)
         links = np.zeros(len(rows), np.int64)
         np.add.at(links, i, mult[j])
         np.add.at(links, j, mult[i])
@@ -343,14 +344,14 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close(held)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """Text (the last column) -> its key and its set."""
     import xxhash
 
     for b in batches:
         for lo in range(0, b.num_rows, 256):
             part = b.slice(lo, 256)
-            sets = [shingle_set(t).tobytes() for t in part.column(b.num_columns - 1).to_pylist()]
+            sets = [shingle_set(t, shingle).tobytes() for t in part.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:-1], pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())],
                 names=[*part.schema.names[:-1], "found", "tokens"],
@@ -361,10 +362,10 @@ def _small(key: Column) -> Column:
     return F.conv(F.hex(F.substring(key, 1, 7)), 16, 10).cast("long")
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
+def link_documents(docs: DataFrame, shingle: int = SHINGLE, part: int = PART) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (documents that it is linked with) and n_copies (equal sets among them)."""
     thin = docs.select(F.col("doc_id").cast("long"), "text")
-    sketch = staged(thin.mapInArrow(_sketches, "doc_id long, n_shingles long, key binary, sigs array<long>, need0 int, need1 int"), "ngram")
+    sketch = staged(thin.mapInArrow(lambda b: _sketches(b, shingle, part), "doc_id long, n_shingles long, key binary, sigs array<long>, need0 int, need1 int"), "ngram")
     classes = staged(
         sketch.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n_shingles").alias("n_shingles"), F.max("need0").alias("need0"), F.max("need1").alias("need1")).withColumn("small", _small(F.col("key"))),
         "ngram-classes",
@@ -385,12 +386,12 @@ def link_documents(docs: DataFrame) -> DataFrame:
     found = found.join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     # 3. signature trees
     texts = found.hint("merge").join(thin, found.rep == thin.doc_id).select("grp", "chunks", "chunk", "rep", "mult", "key", "text")
-    sets = texts.mapInArrow(_sets, "grp long, chunks int, chunk int, rep long, mult long, key binary, found binary, tokens binary").where("key = found").dropDuplicates(["key"])
+    sets = texts.mapInArrow(lambda b: _sets(b, shingle), "grp long, chunks int, chunk int, rep long, mult long, key binary, found binary, tokens binary").where("key = found").dropDuplicates(["key"])
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     paired = sets.select("grp", "chunk", "rep", "mult", "tokens", other).select(
         "grp", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), (F.col("chunk") > F.col("other")).alias("second"), "rep", "mult", "tokens"
     )
-    linked = paired.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b").mapInArrow(_joined, "rep long, links long, root long")
+    linked = paired.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b").mapInArrow(lambda b: _joined(b, part), "rep long, links long, root long")
     linked = staged(linked, "ngram-links")
     # 4. groups
     joined = components(linked.where("rep != root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
@@ -408,9 +409,9 @@ def link_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, part: int = PART) -> DataFrame:
     """Of each group the row of its least doc_id; the columns of docs."""
-    kept = link_documents(docs).where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = link_documents(docs, shingle, part).where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
 
 

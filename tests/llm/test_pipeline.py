@@ -36,3 +36,24 @@ def test_stages_against_plain_ones(spark, tmp_path):
     for r in out[:40]:
         assert own.decode(r.ids) == (texts[r.doc_id] or "")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "pii", "mixing", "sentencepiece"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_by_five_words_from_four_fifths_on(spark, tmp_path):
+    own = [f"w{i}" for i in range(200)]
+    pairs, want = [], []
+    for k, change in enumerate([
+        lambda w: [f"new{i}" if i in (20, 60, 100, 140) else x for i, x in enumerate(w)],  # 176 of 216 shingles: 0.815
+        lambda w: [f"new{i}" if i in (20, 60, 100, 140, 180) else x for i, x in enumerate(w)],  # 171 of 221: 0.774
+        lambda w: w[:90] + [f"new{i}" for i in range(16)] + w[106:],  # 176 of 216: 0.815
+        lambda w: w[:90] + [f"new{i}" for i in range(18)] + w[108:],  # 174 of 218: 0.798
+        lambda w: w + [f"new{i}" for i in range(44)],  # 196 of 240: 0.817
+        lambda w: w + [f"new{i}" for i in range(49)],  # 196 of 245: 0.8
+        lambda w: w + [f"new{i}" for i in range(50)],  # 196 of 246: 0.797
+    ]):
+        first = [f"{k}{w}" for w in own]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (first, change(first)))
+        pairs += [(2 * k, " ".join(first)), (2 * k + 1, " ".join(change(first)))]
+        want += [2 * k] + [2 * k + 1] * (100 * len(a & b) < 80 * len(a | b))
+    assert len(want) == 10
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()) == want
