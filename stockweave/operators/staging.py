@@ -1,7 +1,11 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share.
+
+Tables lie in one folder an application, which the file system deletes when the driver's process ends.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where the session has none (tests, local use) a new local folder is set."""
+    """This application's folder under spark.checkpoint.dir. Only a session with a local master, whose executor is the
+    driver's own process, may go without that setting; elsewhere a folder made here would be another one on each machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="stockweave-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    folder = f"{root.rstrip('/')}/stockweave-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return folder
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
