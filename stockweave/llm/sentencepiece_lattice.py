@@ -8,11 +8,13 @@ an edge is taken if its piece can follow the piece that ends where it starts.
 
 For byte-pair merges there is exactly one such edge for each place: the encoding of a prefix is unique, and a sequence
 is what merging gives if and only if each pair of neighbours is. Whether two pieces can be neighbours is decided from
-their last merges, taken back one by one in the order of their ranks. Pieces whose own merges don't come in the order of
-their ranks (if a model has any) are tested by merging itself.
+their last merges, taken back one by one in the order of their ranks, and kept in a table of fixed size. Pieces whose own
+merges don't come in the order of their ranks (if a model has any) are tested by merging itself.
 
 Characters without a piece become byte pieces. Nulls and empty texts have no ids. Repeated rows and ties give equal
-results. An empty table gives an empty one. Extra columns are ignored.
+results. Very long texts: a text is cut into segments whatever its length, and a segment of any length is indexed whole;
+memory follows the longest text of a batch. An empty table gives an empty one. Extra columns are ignored, or passed on by
+encode_column, which replaces one named ids.
 """
 
 from __future__ import annotations
@@ -28,9 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stockweave.llm.common import returning_memory, slices
+
 MARK = "▁"
-#: Segments kept from batch to batch, and characters that are indexed at once.
-CACHED_SEGMENTS, INDEX_CHARS = 400_000, 1_000_000
+#: Segments that a worker keeps from batch to batch, characters that are indexed at once, and pairs of pieces in the table.
+CACHED_SEGMENTS, INDEX_CHARS, PAIRS = 200_000, 250_000, 1 << 19
+#: From the place on after which no place has more edges than this, edges are relaxed one by one.
+FEW = 12
 
 
 class Lattice:
@@ -48,13 +54,28 @@ class Lattice:
         self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode() if plain[i] else b"" for i, p in enumerate(self.pieces)]
         # rank: pieces by falling score; the highest score merges first
         order = sorted(self.ids.values(), key=lambda i: (-model.get_score(i), i))
-        self.rank = np.full(n + 1, n, np.int64)
+        self.rank = np.full(n + 2, n, np.int64)
         self.rank[order] = np.arange(len(order))
         self._merges(n)
         self.longest = max(map(len, self.ids))
-        self.unknown = n  # a character without a piece
+        self.unknown, self.opening = n, n + 1  # a character without a piece, and the start of a segment
+        self._spelling()
+        self.known_pairs = np.full(PAIRS, -1, np.int64)
         self.clear()
 
+    def _spelling(self) -> None:
+        """The pieces as rows of numbers of the model's characters, 0 after their ends."""
+        found = [(p, i) for p, i in self.ids.items() if self.usable[i]]
+        letters = sorted({c for p, _ in found for c in p})
+        self.letter = np.zeros(0x110000, np.uint16 if len(letters) < 65535 else np.uint32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.n_letters = len(letters) + 1
+        self.spelled = np.zeros((len(found), self.longest), self.letter.dtype)
+        for x, (p, _) in enumerate(found):
+            self.spelled[x, : len(p)] = self.letter[[ord(c) for c in p]]
+        self.size = np.array([len(p) for p, _ in found], np.int32)
+        self.found_id = np.array([i for _, i in found], np.int32)
+
     def merged(self, text: str) -> tuple[list[int], list[tuple[int, int, int]]]:
         """Ids of text by merging, and the merges (left, right, result) in order."""
         parts = [self.ids.get(c, -1) for c in text]
@@ -73,14 +94,14 @@ class Lattice:
             words[k : k + 2], parts[k : k + 2] = [words[k] + words[k + 1]], [got]
 
     def _merges(self, n: int) -> None:
-        self.left, self.right = np.arange(n + 1), np.arange(n + 1)
-        self.usable, self.odd = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        self.left, self.right = np.arange(n + 2), np.arange(n + 2)
+        self.usable, self.odd = np.zeros(n + 2, bool), np.zeros(n + 2, bool)
         pairs = {}
         for p, i in self.ids.items():
             for k in range(1, len(p)):
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
-                    pairs[a * (n + 1) + b] = i
+                    pairs[a * (n + 2) + b] = i
             parts, done = self.merged(p)
             self.usable[i] = parts == [i]
             if done and parts == [i]:
@@ -95,13 +116,13 @@ class Lattice:
         """Whether merging leaves a boundary between pieces a and b."""
         n = len(self.rank)
         out = np.ones(len(a), bool)
-        odd = (self.odd[a] | self.odd[b]) & (a < n - 1) & (b < n - 1)
+        odd = (self.odd[a] | self.odd[b]) & (a < n - 2) & (b < n - 2)
         for k in np.flatnonzero(odd):
             x, y = int(a[k]), int(b[k])
             if (x, y) not in self.slow:
                 self.slow[x, y] = self.merged(self.pieces[x] + self.pieces[y])[0] == [x, y]
             out[k] = self.slow[x, y]
-        todo = np.flatnonzero((a < n - 1) & (b < n - 1) & ~odd)
+        todo = np.flatnonzero((a < n - 2) & (b < n - 2) & ~odd)
         a, b = a[todo].copy(), b[todo].copy()
         limit = np.full(len(todo), np.iinfo(np.int64).max)
         while len(todo):
@@ -119,43 +140,68 @@ class Lattice:
             todo, a, b, limit = todo[go], a[go], b[go], limit[go]
         return out
 
+    def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """neighbours(a, b), from the table where it has them."""
+        key = a.astype(np.int64) * len(self.rank) + b
+        slot = (key * -7046029254386353131 >> 45) & (PAIRS - 1)  # a fixed odd factor
+        held = self.known_pairs[slot]
+        out = (held & 1).astype(bool)
+        fresh = np.flatnonzero(held >> 1 != key)
+        if len(fresh):
+            out[fresh] = self.neighbours(a[fresh], b[fresh])
+            self.known_pairs[slot[fresh]] = key[fresh] << 1 | out[fresh]
+        return out
+
     def edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, piece) of every occurrence of every piece in text, by suffix array."""
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        alphabet, dense = np.unique(points, return_inverse=True)
-        letters = {chr(c): i + 1 for i, c in enumerate(alphabet)}
-        bits = 8 if len(alphabet) < 255 else 16 if len(alphabet) < 65535 else 32
+        """(start, length, piece) of every occurrence of every piece in text, by suffix array."""
+        codes = self.letter[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        used = np.flatnonzero(np.bincount(codes, minlength=self.n_letters)[1:]) + 1
+        bits = 8 if len(used) < 256 else 16 if len(used) < 65536 else 32
+        dense = np.zeros(self.n_letters, np.uint64)
+        dense[used] = np.arange(1, len(used) + 1)
         per = 64 // bits
-        n_keys = -(-self.longest // per)
-        padded = np.concatenate([dense.astype(np.uint64) + np.uint64(1), np.zeros(n_keys * per, np.uint64)])
-        first = np.zeros(len(points) + (n_keys - 1) * per, np.uint64)
+        n, n_keys = len(codes), -(-self.longest // per)
+        # the key of a place: its next characters, as many as 64 bits hold
+        padded = np.concatenate([dense[codes], np.zeros(n_keys * per, np.uint64)])
+        first = np.zeros(n + (n_keys - 1) * per, np.uint64)
         for k in range(per):
             first |= padded[k : k + len(first)] << np.uint64(64 - bits * (k + 1))
-        keys = [first[k * per : k * per + len(points)] for k in range(n_keys)]
-        order = np.lexsort(keys[::-1])
-        keys = [k[order] for k in keys]
-        found = [(p, i) for p, i in self._spelled(letters) if self.usable[i]]
-        low = np.zeros((n_keys, len(found)), np.uint64)
-        high = np.zeros_like(low)
-        for x, (p, _) in enumerate(found):
-            for k in range(n_keys):
-                part = [letters[c] for c in p[k * per : (k + 1) * per]]
-                value = 0
-                for c in part:
-                    value = value << bits | c
-                rest = bits * (per - len(part))
-                low[k, x] = value << rest
-                high[k, x] = value << rest | ((1 << rest) - 1)
-        lo, hi = self._bisect(keys, low, False), self._bisect(keys, high, True)
+        low, high = self._ranges(dense, bits, per, n_keys)
+        have = np.flatnonzero((dense[self.spelled] > 0).sum(1) == self.size)
+        short = have[self.size[have] <= per]
+        order = np.argsort(first[:n]).astype(np.int32)
+        ranked = first[order]
+        out = [self._spread(order, np.searchsorted(ranked, low[0, short]), np.searchsorted(ranked, high[0, short], "right"), short)]
+        del ranked
+        long = have[self.size[have] > per]
+        if len(long):
+            starts = np.unique(low[0, long])
+            at = np.flatnonzero(starts[np.minimum(np.searchsorted(starts, first[:n]), len(starts) - 1)] == first[:n])
+            keys = [first[at + k * per] for k in range(n_keys)]
+            order = np.lexsort(keys[::-1])
+            keys = [k[order] for k in keys]
+            out.append(self._spread(at[order].astype(np.int32), self._bisect(keys, low[:, long], False), self._bisect(keys, high[:, long], True), long))
+        start, size, piece = (np.concatenate(x) for x in zip(*out, strict=True))
+        return start, size, piece
+
+    def _ranges(self, dense: np.ndarray, bits: int, per: int, n_keys: int) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest key of each piece's suffixes."""
+        spelled = np.zeros((len(self.size), n_keys * per), np.uint64)
+        spelled[:, : self.longest] = dense[self.spelled]
+        low, high = np.zeros((n_keys, len(self.size)), np.uint64), np.zeros((n_keys, len(self.size)), np.uint64)
+        ends = np.arange(n_keys * per)[None, :] >= self.size[:, None]
+        full = np.where(ends, np.uint64((1 << bits) - 1), spelled)
+        for k in range(n_keys):
+            for c in range(per):
+                shift = np.uint64(64 - bits * (c + 1))
+                low[k] |= spelled[:, k * per + c] << shift
+                high[k] |= full[:, k * per + c] << shift
+        return low, high
+
+    def _spread(self, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         count = np.maximum(hi - lo, 0)
         begins = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        start = order[begins]
-        piece = np.repeat(np.array([i for _, i in found], np.int64), count)
-        return start, start + np.repeat(np.array([len(p) for p, _ in found], np.int64), count), piece
-
-    def _spelled(self, letters: dict[str, int]) -> list[tuple[str, int]]:
-        have = letters.keys()
-        return [(p, i) for p, i in self.ids.items() if have >= set(p)]
+        return order[begins], np.repeat(self.size[which], count), np.repeat(self.found_id[which], count)
 
     @staticmethod
     def _bisect(keys: list[np.ndarray], wanted: np.ndarray, after: bool) -> np.ndarray:
@@ -174,63 +220,77 @@ class Lattice:
         return lo
 
     def segments(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all segments, their counts)."""
+        """(ids of all segments, their counts); none of them is empty."""
         text = "\0".join(parts) + "\0"
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-        start, end, piece = self.edges(text)
-        covered = np.zeros(len(text), bool)
-        single = end - start == 1
-        covered[start[single]] = True
-        covered[begin + sizes] = True
-        bare = np.flatnonzero(~covered)
-        start, end = np.concatenate([start, bare]), np.concatenate([end, bare + 1])
-        piece = np.concatenate([piece, np.full(len(bare), self.unknown)])
-        segment = np.searchsorted(begin, start, "right") - 1
-        inside = end - begin[segment] <= sizes[segment]  # the separator itself is no part of any piece's occurrence
-        start, end, piece, segment = start[inside], end[inside], piece[inside], segment[inside]
-        place = end - begin[segment]
-        order = np.argsort(place, kind="stable")
-        start, end, piece, place = start[order], end[order], piece[order], place[order]
-        opens = start == begin[segment[order]]
-        last, back = np.full(len(text) + 1, -1), np.full(len(text) + 1, -1)
-        waves = np.searchsorted(place, np.arange(1, (place[-1] if len(place) else 0) + 2))
-        for lo, hi in zip(waves[:-1].tolist(), waves[1:].tolist(), strict=True):
-            s, e, p, o = start[lo:hi], end[lo:hi], piece[lo:hi], opens[lo:hi]
-            ok = o.copy()
-            rest = np.flatnonzero(~o)
-            if len(rest):
-                before = last[s[rest]]
-                ok[rest] = (before >= 0) & self.neighbours(np.maximum(before, 0), p[rest])
-            last[e[ok]], back[e[ok]] = p[ok], s[ok]
-        at, alive = begin + sizes, np.flatnonzero(sizes > 0)
-        out_seg, out_piece, out_start = [], [], []
-        while len(alive):
-            e = at[alive]
-            out_seg.append(alive)
-            out_piece.append(last[e])
-            out_start.append(back[e])
-            at[alive] = back[e]
-            alive = alive[at[alive] > begin[alive]]
-        if not out_seg:
-            return np.empty(0, np.int64), np.zeros(len(parts), np.int64)
-        seg, got, where = np.concatenate(out_seg), np.concatenate(out_piece), np.concatenate(out_start)
-        if (got < 0).any():
+        sizes = np.fromiter(map(len, parts), np.int32, len(parts))
+        begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1].astype(np.int32)
+        start, size, piece = self.edges(text)
+        bare = np.ones(len(text), bool)
+        bare[start[size == 1]] = False
+        bare[begin + sizes] = False
+        bare = np.flatnonzero(bare).astype(np.int32)
+        if len(bare):
+            start, size = np.concatenate([start, bare]), np.concatenate([size, np.ones(len(bare), np.int32)])
+            piece = np.concatenate([piece, np.full(len(bare), self.unknown, np.int32)])
+        place = start - np.repeat(begin, sizes + 1)[start] + size
+        longest = int(sizes.max())
+        order = np.argsort(place.astype(np.uint16) if longest < 65536 else place, kind="stable")  # a radix sort of 16 bits
+        waves = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=longest + 1)[1:])]).tolist()
+        start, piece = start[order], piece[order]
+        end = start + size[order]
+        del size, place, order
+        last, back = np.full(len(text) + 1, -1, np.int32), np.full(len(text) + 1, -1, np.int32)
+        last[begin] = self.opening
+        many = np.flatnonzero(np.diff(waves) > FEW)
+        vectors = int(many[-1]) + 1 if len(many) else 0
+        for lo, hi in zip(waves[:vectors], waves[1 : vectors + 1], strict=True):
+            s, e, p = start[lo:hi], end[lo:hi], piece[lo:hi]
+            ok = self.follows(last[s], p)
+            e = e[ok]
+            last[e], back[e] = p[ok], s[ok]
+        if waves[vectors] < len(start):
+            self._relax_singly(start[waves[vectors] :], end[waves[vectors] :], piece[waves[vectors] :], last, back)
+        taken = np.full(len(text), -1, np.int32)
+        at = begin + sizes
+        if (last[at] < 0).any():
             raise AssertionError("a place without an encoding")
-        order = np.argsort(where, kind="stable")
-        seg, got, where = seg[order], got[order], where[order]
+        alive_begin = begin
+        while len(at):
+            to = back[at]
+            taken[to] = last[at]
+            more = to > alive_begin
+            at, alive_begin = to[more], alive_begin[more]
+        where = np.flatnonzero(taken >= 0)
+        got = taken[where]
+        counts = np.add.reduceat(taken >= 0, begin, dtype=np.int32)
         lost = np.flatnonzero(got == self.unknown)
         if len(lost):
             wide = [self.bytes[list(text[w].encode("utf-8"))] for w in where[lost].tolist()]
             many = np.ones(len(got), np.int64)
             many[lost] = [len(w) for w in wide]
-            seg, got = np.repeat(seg, many), np.repeat(got, many)
+            segment = np.repeat(np.arange(len(parts)), counts)
+            counts = np.bincount(np.repeat(segment, many), minlength=len(parts))
+            got = np.repeat(got, many)
             got[got == self.unknown] = np.concatenate(wide)
-        return got, np.bincount(seg, minlength=len(parts))
+        return got, counts
+
+    def _relax_singly(self, start: np.ndarray, end: np.ndarray, piece: np.ndarray, last: np.ndarray, back: np.ndarray) -> None:
+        """The rest of few long segments: a numpy call for each place would cost more than its edges."""
+        memo: dict[tuple[int, int], bool] = {}
+        ends: dict[int, tuple[int, int]] = {}
+        for s, e, p in zip(start.tolist(), end.tolist(), piece.tolist(), strict=True):
+            before = ends[s][0] if s in ends else int(last[s])
+            ok = memo.get((before, p))
+            if ok is None:
+                ok = memo[before, p] = bool(self.follows(np.array([before]), np.array([p]))[0])
+            if ok:
+                ends[e] = p, s
+        at = np.fromiter(ends, np.int64, len(ends))
+        last[at], back[at] = np.array(list(ends.values()), np.int32).T
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.found, self.ends = np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.found, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def _learn(self, fresh: list[str]) -> None:
         lo = 0
@@ -286,36 +346,54 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
+#: Rows and bytes of text that are encoded together.
+ROWS, BYTES = 4096, 1 << 22
+
+
 def _encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(path)
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                ids = own.encode([t or "" for t in part.column("text").to_pylist()])
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*part.schema.names, "ids"])
+        for part in slices(batches, ROWS, BYTES):
+            ids = own.encode([t or "" for t in part.column("text").to_pylist()])
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], names=[*part.schema.names, "ids"])
+
+    return returning_memory(encode)
 
-    return encode
+
+DIGEST = "doc_id long, n_chars long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean"
+
+
+def _digest_rows(own: Lattice, doc_ids: pa.Array, texts: list[str | None], ids: list[np.ndarray]) -> pa.RecordBatch:
+    rows = []
+    for text, x in zip(texts, ids, strict=True):
+        back = own.decode(x.tolist())
+        rows.append((len(text or ""), len(x), zlib.crc32(x.astype("<u4").tobytes()), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == (text or "")))
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_chars", "n_ids", "ids_crc32", "decoded_crc32", "round_trip"])
 
 
 def _digester(path: str):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(path)
-        for b in batches:
-            rows: list[tuple] = []
-            ends = b.column(2).offsets.to_numpy()
-            flat = b.column(2).values.to_numpy(zero_copy_only=False)
-            for k, text in enumerate(b.column(1).to_pylist()):
-                ids = flat[ends[k] : ends[k + 1]]
-                back = own.decode(ids.tolist())
-                rows.append((len(text or ""), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == (text or "")))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_chars", "n_ids", "ids_crc32", "decoded_crc32", "round_trip"])
+        for b in slices(batches, ROWS, BYTES):
+            ids = [np.array(x or (), np.int32) for x in b.column(2).to_pylist()]
+            yield _digest_rows(own, b.column(0), b.column(1).to_pylist(), ids)
+
+    return returning_memory(digest)
+
+
+def _coder(path: str):
+    """Encoding, decoding and digests of (doc_id, text) at one go: one worker a task, and texts cross to it once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lattice(path)
+        for b in slices(batches, ROWS, BYTES):
+            texts = b.column(1).to_pylist()
+            yield _digest_rows(own, b.column(0), texts, own.encode([t or "" for t in texts]))
 
-    return digest
+    return returning_memory(run)
 
 
 def encode_column(docs: DataFrame, path: str) -> DataFrame:
@@ -332,9 +410,14 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 def digests(encoded: DataFrame, path: str) -> DataFrame:
     """Of encoded documents: lengths, checksums of the ids (as little-endian 32-bit integers) and of the decoded text
     (UTF-8), and whether that is the text again. Only texts with the space mark itself don't come back."""
-    return encoded.mapInArrow(_digester(path), "doc_id long, n_chars long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
+    return encoded.mapInArrow(_digester(path), DIGEST)
+
+
+def encode_and_digest(docs: DataFrame, path: str) -> DataFrame:
+    """digests(encode_documents(docs, path), path), without the ids in between."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_coder(path), DIGEST)
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
     path = default_model()
-    return digests(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    return encode_and_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
