@@ -2,43 +2,52 @@
 
 A document is the set of its distinct n-word shingles (as 64-bit hashes). The length n and the similarity from which two
 sets are linked are parameters; op3 takes SHINGLE words and PART hundredths. Documents with equal sets are one class and
-take part in the join once. The join has four steps:
+take part in the join once. The join has these steps:
 
 1. Blocks. The hash space is cut into k intervals; two sets that differ in d shingles agree on at least k - d of them.
    k depends on a size class; a set also takes part in the next class if a partner could be there. A set emits a
-   signature for each interval, so every linked pair meets in at least k - d blocks, whatever the data are. A set
-   whose intervals meet too few others can't have a partner and leaves.
-2. Candidate groups: connected components of the sets that meet in a block.
-3. Signature trees. Within a candidate group (large ones cut into chunks, every pair of chunks by itself) nodes hold
-   OR-combined token bitmaps, kept as the largest count of tokens at each bit, and size ranges. A dual traversal from
-   the roots prunes node pairs whose maximum possible overlap is too small; pairs of documents that are left are
-   counted exactly.
-4. Groups: connected components of the verified links.
+   signature for each interval, so every linked pair meets in at least k - d blocks, whatever the data are. What shares a
+   signature within a chunk of a task goes on as one row, so no block gathers all its sets in one place. A set whose
+   intervals meet too few others can't have a partner and leaves.
+2. Candidate groups: connected components of the sets and the blocks in which they meet.
+3. Signature trees. Nodes hold OR-combined token bitmaps, kept as the largest count of tokens at each bit, and size
+   ranges. A dual traversal from the roots prunes node pairs whose maximum possible overlap is too small; pairs of
+   documents that are left are counted exactly.
+   a. A group is one tree. A large group is cut into chunks, a tree each, and every chunk gets the group's hubs too: the
+      sets that meet most others. In a group of near copies the hubs' links make one component of nearly all of it.
+   b. What then lies in blocks that still hold several components is joined across chunks, of which those of one
+      component aren't paired; the traversal prunes node pairs that are one component already.
+   A pair that is never counted is therefore in one component; links between components are all found.
+4. Groups: connected components of the links.
 
 Nulls and empty texts: an empty set, linked with nothing, each in a group of its own. Null doc_ids take part; a group
-of only such rows has a null component_id. Repeated rows and ties: equal sets are linked. Empty tables give empty ones.
-Extra columns are ignored.
+of only such rows has a null component_id. Repeated rows and ties: equal sets are linked. Very long texts: sets have no
+size limit; a task holds one chunk of about CHUNK_SHINGLES shingles, or one set if that is larger. Empty tables give
+empty ones. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stockweave.llm.common import staged
+from stockweave.llm.common import returning_memory, slices, staged
 
 SHINGLE = 4
 #: Two sets are linked when PER * intersection >= part * union; op3's part is PART.
 PART, PER = 85, 100
 #: Sizes of one class lie within this factor.
 CLASS_FACTOR = 1.5
-#: Chunks of a candidate group have about so many documents and so many shingles at most.
-CHUNK_DOCS, CHUNK_SHINGLES = 512, 1_500_000
+#: Chunks of a candidate group have about so many documents and so many shingles at most; hubs of a large group.
+CHUNK_DOCS, CHUNK_SHINGLES, HUBS = 512, 1_500_000, 4
+#: Signatures that a task looks through for equal ones before it passes them on, and sets whose copies it then leaves out.
+CHUNK_SIGS, KNOWN_SETS = 500_000, 200_000
 BITS, LEAF, FAN = 256, 16, 8
 
 _U = np.uint64
@@ -123,30 +132,50 @@ def signatures(h: np.ndarray, part: int = PART) -> tuple[np.ndarray, int, int]:
     return (np.concatenate(found) if found else np.empty(0, _U)), need[0], need[1]
 
 
+def _lists(values: np.ndarray, owner: np.ndarray, picked: np.ndarray, n: int) -> pa.Array:
+    """The picked values as one list for each of n owners."""
+    own = owner[picked]
+    order = np.argsort(own, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[picked][order].view(np.int64)))
+
+
 def _sketches(batches: Iterator[pa.RecordBatch], shingle: int, part: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to sizes, keys and signatures. alone: signatures that no other set of the chunk has; leads: those
+    that others have, at the first one; follows: the same at the others."""
     import xxhash
 
-    emitted: set[int] = set()  # copies within a task emit their signatures once
-    for b in batches:
-        ids, texts = b.column(0), b.column(1)
-        for lo in range(0, len(ids), 512):
-            rows: dict[str, list] = {k: [] for k in ("n_shingles", "key", "sigs", "need0", "need1")}
-            for t in texts[lo : lo + 512].to_pylist():
-                h = shingle_set(t, shingle)
-                key = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
-                small = int.from_bytes(key[:8], "little") if key else 0
-                sig, a, z = (np.empty(0, _U), 1, 1) if small in emitted or key is None else signatures(h, part)
-                if len(emitted) < 4_000_000 and len(sig):
-                    emitted.add(small)
-                for k, v in zip(rows, (len(h), key, sig.view(np.int64), a, z), strict=True):
-                    rows[k].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids[lo : lo + 512], pa.array(rows["n_shingles"], pa.int64()), pa.array(rows["key"], pa.binary()),
-                    pa.array(rows["sigs"], pa.list_(pa.int64())), pa.array(rows["need0"], pa.int32()), pa.array(rows["need1"], pa.int32()),
-                ],
-                names=["doc_id", "n_shingles", "key", "sigs", "need0", "need1"],
-            )
+    known: set[bytes] = set()  # copies within a task emit their signatures once
+    rows: list[tuple] = []
+    held = 0
+
+    def close() -> pa.RecordBatch:
+        sigs = np.concatenate([r[3] for r in rows])
+        owner = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
+        order = np.argsort(sigs, kind="stable")
+        ranked = sigs[order]
+        first = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)]
+        last = np.concatenate([first[1:], [True]])[: len(ranked)]
+        sigs, owner = ranked, owner[order]
+        lists = [_lists(sigs, owner, pick, len(rows)) for pick in (first & last, first & ~last, ~first)]
+        plain = [pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.binary()))]
+        needs = [pa.array([r[k] for r in rows], pa.int32()) for k in (4, 5)]
+        return pa.RecordBatch.from_arrays([*plain, *lists, *needs], names=["doc_id", "n_shingles", "key", "alone", "leads", "follows", "need0", "need1"])
+
+    for b in slices(batches):
+        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            h = shingle_set(text, shingle)
+            key = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
+            sigs, need0, need1 = (np.empty(0, _U), 1, 1) if key is None or key in known else signatures(h, part)
+            if len(sigs) and len(known) < KNOWN_SETS:
+                known.add(key)
+            rows.append((doc_id, len(h), key, sigs, need0, need1))
+            held += len(sigs)
+        if held >= CHUNK_SIGS or len(rows) >= 8192:
+            yield close()
+            rows, held = [], 0
+    if rows:
+        yield close()
 
 
 #: Edges that a task holds at most before it reduces them.
@@ -202,7 +231,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(2):
         # each node keeps one edge, to its least neighbour; its other neighbours get theirs to that one
         least = Window.partitionBy("u")
-        near = edges.mapInArrow(_forest, "u long, v long").withColumn("_low", F.min("v").over(least))
+        near = _mapped(edges, _forest, "u long, v long").withColumn("_low", F.min("v").over(least))
         near = staged(near, "cc-near")
         edges = near.select("u", F.col("_low").alias("v")).unionByName(near.where("v != _low").select(F.col("v").alias("u"), F.col("_low").alias("v"))).distinct()
     edges = staged(edges, "cc-edges")
@@ -220,28 +249,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class SignatureTree:
-    """Documents in order of size; nodes hold bitmaps (largest counts at each bit) and size ranges of what is below."""
+    """Documents in order of component and size; nodes hold bitmaps (largest counts at each bit), size ranges and ranges
+    of the components of what is below."""
 
-    def __init__(self, sets: list[np.ndarray], lo: int, hi: int):
-        order = sorted(range(lo, hi), key=lambda i: (len(sets[i]), int(sets[i][0])))
+    def __init__(self, sets: list[np.ndarray], lo: int, hi: int, comps: np.ndarray):
+        _, at, n = np.unique(comps[lo:hi], return_inverse=True, return_counts=True)
+        apart = np.where(n[at] > 1, at, -1)  # what is a component alone goes by its size
+        order = sorted(range(lo, hi), key=lambda i: (apart[i - lo], len(sets[i]), int(sets[i][0])))
         self.items = np.array(order, np.int64)
-        self.sizes = np.array([len(sets[i]) for i in order], np.int64)
+        sizes, own = np.array([len(sets[i]) for i in order], np.int64), comps[self.items]
         counts = np.array([np.bincount((sets[i] >> _U(5)).astype(np.int64) & (BITS - 1), minlength=BITS) for i in order])
-        self.counts = counts.astype(np.int32)
-        self.levels = [self._up(self.counts, self.sizes, self.sizes, LEAF)]
+        self.leaves = counts.astype(np.int32), sizes, sizes, own, own
+        self.levels = [self._up(self.leaves, LEAF)]
         while len(self.levels[-1][0]) > 1:
-            self.levels.append(self._up(*self.levels[-1], FAN))
+            self.levels.append(self._up(self.levels[-1], FAN))
 
     @staticmethod
-    def _up(maps: np.ndarray, low: np.ndarray, high: np.ndarray, fan: int):
-        at = np.arange(0, len(maps), fan)
-        return np.maximum.reduceat(maps, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+    def _up(below: tuple[np.ndarray, ...], fan: int) -> tuple[np.ndarray, ...]:
+        at = np.arange(0, len(below[0]), fan)
+        return tuple(f.reduceat(x, at) for f, x in zip((np.maximum, np.minimum, np.maximum, np.minimum, np.maximum), below, strict=True))
 
 
 def _can_link(p, i: np.ndarray, q, j: np.ndarray, part: int) -> np.ndarray:
-    """Whether sets below nodes i and j can be linked: by their sizes, and by the most overlap that the maps allow."""
-    (pm, pl, ph), (qm, ql, qh) = p, q
-    fits = (ph[i] * PER >= ql[j] * part) & (qh[j] * PER >= pl[i] * part)
+    """Whether sets of two components below nodes i and j can be linked: by their sizes, and by the most overlap that the
+    maps allow."""
+    (pm, pl, ph, pa_, pz), (qm, ql, qh, qa, qz) = p, q
+    fits = (ph[i] * PER >= ql[j] * part) & (qh[j] * PER >= pl[i] * part) & ((pa_[i] != pz[i]) | (qa[j] != qz[j]) | (pa_[i] != qa[j]))
     for lo in range(0, len(i), 4096):
         s = slice(lo, lo + 4096)
         most = np.minimum(pm[i[s]], qm[j[s]]).sum(1)
@@ -270,8 +303,7 @@ def dual_traversal(p: SignatureTree, q: SignatureTree, part: int = PART) -> tupl
     j, i = _below(j, i, LEAF, len(q.items))
     if p is q:
         i, j = i[i < j], j[i < j]
-    items = (p.counts, p.sizes, p.sizes), (q.counts, q.sizes, q.sizes)
-    fits = _can_link(items[0], i, items[1], j, part)
+    fits = _can_link(p.leaves, i, q.leaves, j, part)
     return i[fits], j[fits]
 
 
@@ -281,13 +313,14 @@ def _below(i: np.ndarray, j: np.ndarray, fan: int, n: int) -> tuple[np.ndarray,
     return kids[kids < n], other[kids < n]
 
 
-def join_sets(sets: list[np.ndarray], split: int, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs among non-empty sets; with a split, only those across it."""
+def join_sets(sets: list[np.ndarray], split: int = 0, part: int = PART, comps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs among non-empty sets, but for those of one component; with a split, only those across it."""
     n = len(sets)
+    comps = np.arange(n) if comps is None else comps
     if split:
-        p, q = SignatureTree(sets, 0, split), SignatureTree(sets, split, n)
+        p, q = SignatureTree(sets, 0, split, comps), SignatureTree(sets, split, n, comps)
     else:
-        p = q = SignatureTree(sets, 0, n)
+        p = q = SignatureTree(sets, 0, n, comps)
     i, j = dual_traversal(p, q, part)
     if not len(i):
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -296,14 +329,15 @@ def join_sets(sets: list[np.ndarray], split: int, part: int = PART) -> tuple[np.
     sizes = np.array([len(s) for s in sets])
     ends = np.concatenate([[0], np.cumsum(sizes)])
     tokens, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = ids.astype(np.int32)
     mark = np.zeros(len(tokens), np.int32)
     shared = np.empty(len(i), np.int64)
     firsts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
     for lo, hi in zip(firsts, [*firsts[1:], len(i)], strict=True):
         own = ids[ends[i[lo]] : ends[i[lo] + 1]]
         mark[own] = 1
-        for a in range(lo, hi, 256):
-            js = j[a : min(a + 256, hi)]
+        for a in range(lo, hi, 64):
+            js = j[a : min(a + 64, hi)]
             hit = mark[np.concatenate([ids[ends[x] : ends[x + 1]] for x in js])]
             shared[a : a + len(js)] = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes[js])[:-1]]))
         mark[own] = 0
@@ -312,107 +346,197 @@ def join_sets(sets: list[np.ndarray], split: int, part: int = PART) -> tuple[np.
 
 
 def _joined(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (group, a, b): each (group, a, b) is joined by itself; out come links and a root for each row."""
-
-    def close(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: r[3])
-        reps, mult = np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64)
-        sets = [np.frombuffer(r[6], _U) for r in rows]
-        split = sum(not r[3] for r in rows) if rows[0][1] != rows[0][2] else 0
-        if split == len(rows) or rows[0][1] != rows[0][2] and not split:  # one of the two chunks is empty
+    """Rows (grp, a, b, second, node, comp, tokens) sorted by (grp, a, b), each of which is joined by itself: sets with
+    each other, or if a and b differ those of a with those of b (second). Out come edges (u, v) that make the components."""
+
+    def close(rows: dict[int, tuple], across: bool) -> pa.RecordBatch:
+        held = sorted(rows.items(), key=lambda r: (r[1][0], r[0]))
+        nodes, comps = np.array([n for n, _ in held], np.int64), np.array([r[1] for _, r in held], np.int64)
+        sets = [np.frombuffer(r[2], _U) for _, r in held]
+        split = sum(not r[0] for _, r in held) if across else 0
+        if len(sets) < 2 or across and split in (0, len(sets)):
             i = j = np.empty(0, np.int64)
         else:
-            i, j = join_sets(sets, split, part)
-        links = np.zeros(len(rows), np.int64)
-        np.add.at(links, i, mult[j])
-        np.add.at(links, j, mult[i])
-        order = np.argsort(reps, kind="stable")
+            i, j = join_sets(sets, split, part, comps)
+        order = np.argsort(nodes, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        root = reps[order][_union(len(rows), place[i], place[j])][place]
-        return pa.RecordBatch.from_arrays([pa.array(reps), pa.array(links), pa.array(root)], names=["rep", "links", "root"])
-
-    held, last = [], None
-    for b in batches:
-        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if row[:3] != last and held:
-                yield close(held)
-                held = []
-            last = row[:3]
-            held.append(row)
+        root = nodes[order][_union(len(nodes), place[i], place[j])][place]
+        own = root != nodes
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(root[own])], names=["u", "v"])
+
+    held: dict[int, tuple] = {}  # repeated rows and hubs in their own chunk are one
+    last = None
+    for b in slices(batches):
+        for *key, second, node, comp, tokens in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if key != last and held:
+                yield close(held, last[1] != last[2])
+                held = {}
+            last = key
+            held[node] = second, comp, tokens
     if held:
-        yield close(held)
+        yield close(held, last[1] != last[2])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """Text (the last column) -> its key and its set."""
     import xxhash
 
-    for b in batches:
-        for lo in range(0, b.num_rows, 256):
-            part = b.slice(lo, 256)
-            sets = [shingle_set(t, shingle).tobytes() for t in part.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())],
-                names=[*part.schema.names[:-1], "found", "tokens"],
-            )
+    for b in slices(batches):
+        sets = [shingle_set(t, shingle).tobytes() for t in b.column(b.num_columns - 1).to_pylist()]
+        keys = [xxhash.xxh3_128_digest(s) if s else None for s in sets]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=[*b.schema.names[:-1], "found", "tokens"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], shingle: int, at: int) -> Iterator[pa.RecordBatch]:
+    """Rows with the key of their text, the column at, as a last one."""
+    import xxhash
+
+    for b in slices(batches):
+        sets = [shingle_set(t, shingle) for t in b.column(at).to_pylist()]
+        keys = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[*b.schema.names, "_key"])
+
+
+def _mapped(df: DataFrame, f, schema, **options) -> DataFrame:
+    return df.mapInArrow(returning_memory(partial(f, **options)), schema)
 
 
 def _small(key: Column) -> Column:
-    return F.conv(F.hex(F.substring(key, 1, 7)), 16, 10).cast("long")
+    """The number of a class, at least 0: 63 bits of its key."""
+    return F.xxhash64(key).bitwiseAND(F.lit(2**63 - 1))
 
 
-def link_documents(docs: DataFrame, shingle: int = SHINGLE, part: int = PART) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (documents that it is linked with) and n_copies (equal sets among them)."""
-    thin = docs.select(F.col("doc_id").cast("long"), "text")
-    sketch = staged(thin.mapInArrow(lambda b: _sketches(b, shingle, part), "doc_id long, n_shingles long, key binary, sigs array<long>, need0 int, need1 int"), "ngram")
-    classes = staged(
-        sketch.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n_shingles").alias("n_shingles"), F.max("need0").alias("need0"), F.max("need1").alias("need1")).withColumn("small", _small(F.col("key"))),
-        "ngram-classes",
-    )
-    # 1. blocks: after the distinct, the rows of a block are in one partition
-    emitted = sketch.where(F.size("sigs") > 0).select(_small(F.col("key")).alias("small"), F.explode("sigs").alias("sig"))
+def _blocks(sketch: DataFrame, classes: DataFrame) -> DataFrame:
+    """(small, sig) of the sets in blocks with others, without sets that meet too few for any partner."""
+    passed = sketch.where("key IS NOT NULL").select(_small(F.col("key")).alias("small"), "alone", "leads", "follows")
+    sent = [passed.select("small", F.explode(c).alias("sig"), F.lit(c == "leads").alias("many")) for c in ("alone", "leads")]
     block = Window.partitionBy("sig")
-    met = emitted.repartition("sig").distinct().withColumns({"_low": F.min("small").over(block), "_high": F.max("small").over(block)}).where("_low != _high").select("sig", "small")
-    met = staged(met, "ngram-met")
+    sent = sent[0].unionByName(sent[1]).repartition("sig").groupBy("sig", "small").agg(F.max("many").alias("many"))
+    met = sent.withColumns({"_low": F.min("small").over(block), "_high": F.max("small").over(block), "_many": F.max("many").over(block)}).where("_many OR _low != _high").select("small", "sig")
+    met = staged(met.unionByName(passed.select("small", F.explode("follows").alias("sig"))).distinct(), "ngram-met")
     odd = F.col("sig").bitwiseAND(F.lit(1))
-    enough = met.groupBy("small", odd.alias("odd")).agg(F.count("*").alias("n")).join(classes.select("small", "need0", "need1"), "small").where("n >= IF(odd = 0, need0, need1)").select("small", "odd")
-    left = met.withColumn("odd", odd).join(enough, ["small", "odd"]).select("sig", "small")
-    # 2. candidate groups
-    stars = left.withColumn("_low", F.min("small").over(block)).where("small != _low").select(F.col("small").alias("u"), F.col("_low").alias("v")).distinct()
-    groups = components(stars).select(F.col("node").alias("small"), F.col("component").alias("grp"))
-    found = staged(groups.join(classes, "small").where("rep IS NOT NULL").select("grp", "key", "rep", "mult", "n_shingles"), "ngram-groups")
-    chunks = found.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / F.lit(CHUNK_DOCS)), F.ceil(F.sum("n_shingles") / F.lit(CHUNK_SHINGLES))).cast("int").alias("chunks"))
-    found = found.join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    # 3. signature trees
-    texts = found.hint("merge").join(thin, found.rep == thin.doc_id).select("grp", "chunks", "chunk", "rep", "mult", "key", "text")
-    sets = texts.mapInArrow(lambda b: _sets(b, shingle), "grp long, chunks int, chunk int, rep long, mult long, key binary, found binary, tokens binary").where("key = found").dropDuplicates(["key"])
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    paired = sets.select("grp", "chunk", "rep", "mult", "tokens", other).select(
-        "grp", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), (F.col("chunk") > F.col("other")).alias("second"), "rep", "mult", "tokens"
-    )
-    linked = paired.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b").mapInArrow(lambda b: _joined(b, part), "rep long, links long, root long")
-    linked = staged(linked, "ngram-links")
+    n = met.groupBy("small").agg(F.count_if(odd == 0).alias("n0"), F.count_if(odd == 1).alias("n1"))
+    enough = n.join(classes.select("small", "need0", "need1"), "small").where("n0 >= need0 OR n1 >= need1")
+    return met.join(enough, "small").where(F.when(odd == 0, F.col("n0") >= F.col("need0")).otherwise(F.col("n1") >= F.col("need1"))).select("small", "sig")
+
+
+def _with_tokens(found: DataFrame, thin: DataFrame, shingle: int) -> DataFrame:
+    """found (with key and rep) with the tokens of its sets; repeated rows may give some twice."""
+    cols = [c for c in found.columns if c != "rep"]
+    schema = [f"{c} {t}" for c, t in found.dtypes if c != "rep"]
+    texts = found.hint("merge").join(thin, found.rep == thin.doc_id).select(*cols, "text")
+    by_id = _mapped(texts, _sets, ", ".join([*schema, "found binary", "tokens binary"]), shingle=shingle).where("key = found")
+    # classes all of whose rows have no doc_id
+    bare = _mapped(thin.where("doc_id IS NULL").select("text"), _sets, "found binary, tokens binary", shingle=shingle)
+    by_key = found.where("rep IS NULL").hint("merge").join(bare, F.col("key") == F.col("found"))
+    return by_id.select(*cols, "tokens").unionByName(by_key.select(*cols, "tokens"))
+
+
+def _chunk(n: Column, by: Column) -> Column:
+    return F.pmod(F.xxhash64(by), F.greatest(n, F.lit(1))).cast("int")
+
+
+def _links(blocks: DataFrame, classes: DataFrame, thin: DataFrame, shingle: int, part: int) -> DataFrame:
+    """Edges (u, v) between nodes of classes whose components are those of all links."""
+    # 2. candidate groups; a block is a node below 0
+    edges = blocks.select(F.col("small").alias("u"), F.col("sig").bitwiseOR(F.lit(-(2**63))).alias("v"))
+    groups = components(edges).where("node >= 0").select(F.col("node").alias("small"), F.col("component").alias("grp"))
+    n_met = blocks.groupBy("small").agg(F.count("*").alias("n_met"))
+    found = groups.join(n_met, "small").join(classes, "small").select("grp", "small", "node", "key", "rep", "n_shingles", "n_met")
+    found = staged(found, "ngram-groups")
+    size = F.greatest(F.ceil(F.count("*") / F.lit(CHUNK_DOCS)), F.ceil(F.sum("n_shingles") / F.lit(CHUNK_SHINGLES))).cast("int")
+    sizes = found.groupBy("grp").agg(F.count("*").alias("n"), size.alias("chunks")).where("n > 1")
+    found = found.join(sizes, "grp").withColumn("a", _chunk(F.col("chunks"), F.col("small")))
+    # 3a. every chunk by itself, with the hubs of its group
+    large = found.where("chunks > 1")
+    top = large.groupBy("grp", F.pmod("small", F.lit(HUBS)).alias("_h")).agg(F.max_by("small", F.struct("n_met", "small")).alias("small"))
+    hubs = large.join(top.select("small"), "small", "left_semi").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cols = ["grp", "a", "node", "key", "rep"]
+    sets = _with_tokens(found.select(*cols).unionByName(hubs.select(*cols)), thin, shingle)
+    rows = sets.select("grp", "a", F.col("a").alias("b"), F.lit(False).alias("second"), "node", F.col("node").alias("comp"), "tokens")
+    linked = staged(_dealt(rows, part), "ngram-links")
+    large = staged(large.select("grp", "small", "node", "key", "rep"), "ngram-large")
+    if large.isEmpty():
+        return linked
+    # 3b. what is in blocks with several components yet
+    comps = components(linked).withColumnRenamed("component", "comp")
+    large = staged(large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "ngram-large")
+    own = blocks.join(large.select("small", "comp"), "small")
+    mixed = own.groupBy("sig").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low != _high").select("sig")
+    rest = staged(large.join(own.join(mixed, "sig").select("small").distinct(), "small", "left_semi"), "ngram-rest")
+    # a component with half a chunk or more has chunks of its own
+    n_comp = rest.groupBy("grp", "comp").agg(F.count("*").alias("n")).withColumn("own", F.col("n") * 2 >= CHUNK_DOCS)
+    n_rest = n_comp.where("NOT own").groupBy("grp").agg(F.sum("n").alias("n_rest"))
+    rest = rest.join(n_comp, ["grp", "comp"]).join(n_rest, "grp", "left")
+    chunks = F.ceil(F.when(F.col("own"), F.col("n")).otherwise(F.col("n_rest")) / F.lit(CHUNK_DOCS)).cast("int")
+    of = F.struct(F.when(F.col("own"), F.col("comp")).alias("of"), _chunk(chunks, F.col("small")).alias("i"))
+    rest = staged(rest.select("grp", "node", "comp", "key", "rep", F.xxhash64(F.col("grp"), of["of"], of["i"]).alias("chunk"), of["of"].alias("of")), "ngram-rest")
+    parts = rest.select("grp", "chunk", "of").distinct()
+    other = parts.select("grp", F.col("chunk").alias("_c"), F.col("of").alias("_of"))
+    pairs = parts.join(other, "grp").where("(of IS NULL AND _of IS NULL AND chunk <= _c) OR (of IS NULL AND _of IS NOT NULL) OR (of < _of)")
+    meets = pairs.select(F.col("chunk").alias("a"), F.col("_c").alias("b"))
+    sides = meets.select(F.col("a").alias("chunk"), "a", "b", F.lit(False).alias("second")).unionByName(meets.where("a != b").select(F.col("b").alias("chunk"), "a", "b", F.lit(True).alias("second")))
+    sets = _with_tokens(rest.select("grp", "chunk", "node", "comp", "key", "rep"), thin, shingle)
+    rows = sets.join(sides, "chunk").select("grp", "a", "b", "second", "node", "comp", "tokens")
+    return linked.unionByName(staged(_dealt(rows, part), "ngram-links"))
+
+
+def _dealt(rows: DataFrame, part: int) -> DataFrame:
+    return _mapped(rows.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b"), _joined, "u long, v long", part=part)
+
+
+def _classed(docs: DataFrame, shingle: int, part: int) -> DataFrame:
+    """doc_id, n_shingles, key, component_id, n_copies and comp (the component; null if the row is linked with nothing)."""
+    thin = docs.select(F.col("doc_id").cast("long"), "text")
+    schema = "doc_id long, n_shingles long, key binary, alone array<long>, leads array<long>, follows array<long>, need0 int, need1 int"
+    sketch = staged(_mapped(thin, _sketches, schema, shingle=shingle, part=part), "ngram")
+    small = _small(F.col("key"))
+    classes = sketch.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n_shingles").alias("n_shingles"), F.max("need0").alias("need0"), F.max("need1").alias("need1"))
+    classes = staged(classes.withColumns({"small": small, "node": small}), "ngram-classes")
+    blocks = staged(_blocks(sketch, classes), "ngram-blocks")
+    linked = _links(blocks, classes, thin, shingle, part)
     # 4. groups
-    joined = components(linked.where("rep != root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = (
-        classes.where("mult > 1").select("rep").unionByName(links.where("links > 0").select("rep")).distinct()
-        .join(classes, "rep").join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), "mult")
-    )
+    joined = components(linked)
+    known = classes.join(joined, "node", "left").where("mult > 1 OR component IS NOT NULL").select("key", "rep", "mult", F.coalesce("component", "node").alias("comp"))
+    known = staged(known, "ngram-known")
+    least = known.groupBy("comp").agg(F.min("rep").alias("least"))
+    known = known.join(least, "comp").select("key", "mult", "comp", "least")
     out = sketch.select("doc_id", "n_shingles", "key").join(known, "key", "left")
-    copies = F.coalesce(F.col("mult"), F.lit(1)) - 1
+    alone = F.col("comp").isNull()
     return out.select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
-        (F.coalesce("links", F.lit(0)) + copies).alias("n_links"), copies.alias("n_copies"),
+        "doc_id", "n_shingles", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
+        (F.coalesce(F.col("mult"), F.lit(1)) - 1).alias("n_copies"), "comp",
     )
 
 
+def link_documents(docs: DataFrame, shingle: int = SHINGLE, part: int = PART) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_copies (other documents with an equal set)."""
+    return _classed(docs, shingle, part).drop("key", "comp")
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, part: int = PART) -> DataFrame:
-    """Of each group the row of its least doc_id; the columns of docs."""
-    kept = link_documents(docs, shingle, part).where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    """One row of each group, that of its least doc_id (a null one comes last); the columns of docs.
+
+    Rows without words stay, all of them. Of rows of a group with equal doc_ids one stays, that of the least set key, and
+    of rows equal in both the least one by the values of all columns.
+    """
+    rows = staged(_classed(docs, shingle, part).select("doc_id", "key", "comp"), "ngram-rows")
+    id_ = F.col("doc_id").cast("long")
+    # rows that their doc_id doesn't tell apart
+    repeated = staged(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "ngram-repeated")
+    order = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "key")
+    kept = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min(order).alias("_k")).select("_k.doc_id", "_k.key")
+    kept = kept.unionByName(rows.where("comp IS NULL").select("doc_id", "key"))
+    plain = docs.join(kept.select(F.col("doc_id").alias("_id")).join(repeated, "_id", "left_anti"), id_ == F.col("_id"), "left_semi")
+    if repeated.isEmpty() and rows.where("doc_id IS NULL").isEmpty():
+        return plain
+    bare = docs.where("doc_id IS NULL").unionByName(docs.join(repeated, id_ == F.col("_id"), "left_semi"))
+    keyed = _mapped(bare, _keyed, T.StructType([*bare.schema.fields, T.StructField("_key", T.BinaryType())]), shingle=shingle, at=docs.columns.index("text"))
+    wanted = kept.where("key IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("key").alias("_k")).distinct()
+    held = keyed.join(wanted, F.col("_key").eqNullSafe(F.col("_k")) & id_.eqNullSafe(F.col("_id")), "left_semi")
+    one = held.groupBy("_key", id_.alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("_r")).select("_r.*")
+    return plain.unionByName(one).unionByName(keyed.where("_key IS NULL").drop("_key"))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
@@ -428,8 +552,7 @@ p AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS i FROM g a JOIN g b ON a.
 l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 85 * (nx.n + ny.n - i)),
 h AS (SELECT md5(string_agg(s, chr(10) ORDER BY s)) AS k, doc_id FROM g GROUP BY doc_id),
 c AS (SELECT doc_id, COUNT(*) OVER (PARTITION BY k) - 1 AS copies FROM h),
-d AS (SELECT x, COUNT(*) AS n FROM l GROUP BY x),
 r AS (WITH RECURSIVE reach(x, y) AS (SELECT x, y FROM l UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x) SELECT x, MIN(y) AS y FROM reach GROUP BY x)
-SELECT w.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, LEAST(w.doc_id, COALESCE(r.y, w.doc_id)) AS component_id, COALESCE(d.n, 0)::BIGINT AS n_links, COALESCE(copies, 0)::BIGINT AS n_copies
-FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = w.doc_id LEFT JOIN d ON d.x = w.doc_id LEFT JOIN c USING (doc_id)
+SELECT w.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, LEAST(w.doc_id, COALESCE(r.y, w.doc_id)) AS component_id, COALESCE(copies, 0)::BIGINT AS n_copies
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = w.doc_id LEFT JOIN c USING (doc_id)
 """

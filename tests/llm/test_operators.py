@@ -68,26 +68,61 @@ def shingles(text):
     return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
 
 
-def test_ngram_join_against_all_pairs(spark):
-    texts = [*mutated(random.Random(5), 160), "", "only one"]
+def plain_groups(texts, part=85):
+    """(set sizes, least member of each text's group, equal others) from all pairs."""
     sets = [shingles(t) for t in texts]
-    links = [{j for j, b in enumerate(sets) if j != i and a and 100 * len(a & b) >= 85 * len(a | b)} for i, a in enumerate(sets)]
+    links = [{j for j, b in enumerate(sets) if j != i and a and 100 * len(a & b) >= part * len(a | b)} for i, a in enumerate(sets)]
     comp = list(range(len(texts)))
     for _ in texts:
         comp = [min([comp[i], *(comp[j] for j in links[i])]) for i in range(len(texts))]
-    got = {r.doc_id: r for r in ngram_join.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [(got[i].n_shingles, got[i].component_id, got[i].n_links) for i in range(len(texts))] == [(len(sets[i]), comp[i], len(links[i])) for i in range(len(texts))]
-    assert sum(map(len, links)) > 50
+    return [(len(a), c, sum(b == a for b in sets) - 1 if a else 0) for a, c in zip(sets, comp, strict=True)]
+
+
+def grouped(spark, texts):
+    got = ngram_join.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    return [(r.n_shingles, r.component_id, r.n_copies) for r in got]
+
+
+def test_ngram_join_against_all_pairs(spark):
+    texts = [*mutated(random.Random(5), 160), "", "only one"]
+    want = plain_groups(texts)
+    assert grouped(spark, texts) == want
+    assert sum(c != i for i, (_, c, _) in enumerate(want)) > 50
+
+
+def drifting(rnd, n, words, step):
+    """Texts each of which changes a few words of the one before: neighbours are linked, far ones aren't."""
+    held, out = [f"{rnd.random()}" for _ in range(words)], []
+    for i in range(n):
+        for k in range(step):
+            held[(i * step + k) * 37 % words] = f"n{i}-{k}-{rnd.random()}"
+        out.append(" ".join(held))
+    return out
 
 
 def test_large_groups_are_joined_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CHUNK_DOCS", 7)
     rnd = random.Random(2)
     words = [f"t{i}" for i in range(150)]
-    texts = [" ".join(w if k != i else "new" + str(rnd.random()) for k, w in enumerate(words)) for i in range(40)]
-    got = ngram_join.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {r.component_id for r in got} == {0} and {r.n_links for r in got} == {39}
-    assert ngram_join.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 1
+    near = [" ".join(w if k != i else "new" + str(rnd.random()) for k, w in enumerate(words)) for i in range(40)]
+    chain = drifting(rnd, 60, 120, 1)
+    loose = drifting(rnd, 30, 120, 4)  # at the threshold
+    texts = [*near, *chain, *loose, *near[:3]]
+    rnd.shuffle(texts)
+    want = plain_groups(texts)
+    assert grouped(spark, texts) == want and len({c for _, c, _ in want}) > 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == sorted({c for _, c, _ in want})
+
+
+def test_keep_one_takes_rows_not_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (2, b + " tail"), (None, c), (None, c), (None, c + " more"), (3, ""), (3, None), (None, "")]
+    got = ngram_join.keep_one(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, key string")).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got if r.text != c and r.text != c + " more") == sorted((str(i), str(t)) for i, t in [(1, a), (1, b), (3, ""), (3, None), (None, "")])
+    assert sum(r.text in (c, c + " more") for r in got) == 1 and got[0].__fields__ == ["doc_id", "text", "key"]
+    linked = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in linked if r.doc_id is None} == {None} and len(linked) == len(rows)
 
 
 def test_signature_trees_find_every_pair():
