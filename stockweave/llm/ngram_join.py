@@ -9,7 +9,7 @@ take part in the join once. The join has these steps:
    signature for each interval, so every linked pair meets in at least k - d blocks, whatever the data are. What shares a
    signature within a chunk of a task goes on as one row, so no block gathers all its sets in one place. A set whose
    intervals meet too few others can't have a partner and leaves.
-2. Candidate groups: connected components of the sets and the blocks in which they meet.
+2. Candidate groups: connected components of the sets that meet in a block.
 3. Signature trees. Nodes hold OR-combined token bitmaps, kept as the largest count of tokens at each bit, and size
    ranges. A dual traversal from the roots prunes node pairs whose maximum possible overlap is too small; pairs of
    documents that are left are counted exactly.
@@ -439,9 +439,10 @@ def _chunk(n: Column, by: Column) -> Column:
 
 def _links(blocks: DataFrame, classes: DataFrame, thin: DataFrame, shingle: int, part: int) -> DataFrame:
     """Edges (u, v) between nodes of classes whose components are those of all links."""
-    # 2. candidate groups; a block is a node below 0
-    edges = blocks.select(F.col("small").alias("u"), F.col("sig").bitwiseOR(F.lit(-(2**63))).alias("v"))
-    groups = components(edges).where("node >= 0").select(F.col("node").alias("small"), F.col("component").alias("grp"))
+    # 2. candidate groups: the sets of a block go with its least one; written first, so that a join can split a hot block
+    low = staged(blocks.groupBy("sig").agg(F.min("small").alias("_low"), F.max("small").alias("_high")).where("_low != _high").select("sig", "_low"), "ngram-low")
+    stars = blocks.join(low, "sig").where("small != _low").select(F.col("small").alias("u"), F.col("_low").alias("v")).distinct()
+    groups = components(staged(stars, "ngram-stars")).select(F.col("node").alias("small"), F.col("component").alias("grp"))
     n_met = blocks.groupBy("small").agg(F.count("*").alias("n_met"))
     found = groups.join(n_met, "small").join(classes, "small").select("grp", "small", "node", "key", "rep", "n_shingles", "n_met")
     found = staged(found, "ngram-groups")
@@ -462,8 +463,8 @@ def _links(blocks: DataFrame, classes: DataFrame, thin: DataFrame, shingle: int,
     # 3b. what is in blocks with several components yet
     comps = components(linked).withColumnRenamed("component", "comp")
     large = staged(large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "ngram-large")
-    own = blocks.join(large.select("small", "comp"), "small")
-    mixed = own.groupBy("sig").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low != _high").select("sig")
+    own = staged(blocks.join(large.select("small", "comp"), "small"), "ngram-own")
+    mixed = staged(own.groupBy("sig").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low != _high").select("sig"), "ngram-mixed")
     rest = staged(large.join(own.join(mixed, "sig").select("small").distinct(), "small", "left_semi"), "ngram-rest")
     # a component with half a chunk or more has chunks of its own
     n_comp = rest.groupBy("grp", "comp").agg(F.count("*").alias("n")).withColumn("own", F.col("n") * 2 >= CHUNK_DOCS)
