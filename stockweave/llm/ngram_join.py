@@ -45,7 +45,7 @@ PART, PER = 85, 100
 #: Sizes of one class lie within this factor.
 CLASS_FACTOR = 1.5
 #: Chunks of a candidate group have about so many documents and so many shingles at most; hubs of a large group.
-CHUNK_DOCS, CHUNK_SHINGLES, HUBS = 512, 1_500_000, 4
+CHUNK_DOCS, CHUNK_SHINGLES, HUBS = 256, 1_000_000, 4
 #: Signatures that a task looks through for equal ones before it passes them on, and sets whose copies it then leaves out.
 CHUNK_SIGS, KNOWN_SETS = 500_000, 200_000
 BITS, LEAF, FAN = 256, 16, 8
@@ -346,7 +346,7 @@ def join_sets(sets: list[np.ndarray], split: int = 0, part: int = PART, comps: n
 
 
 def _joined(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
-    """Rows (grp, a, b, second, node, comp, tokens) sorted by (grp, a, b), each of which is joined by itself: sets with
+    """Rows (grp, a, b, second, small, comp, tokens) sorted by (grp, a, b), each of which is joined by itself: sets with
     each other, or if a and b differ those of a with those of b (second). Out come edges (u, v) that make the components."""
 
     def close(rows: dict[int, tuple], across: bool) -> pa.RecordBatch:
@@ -438,31 +438,30 @@ def _chunk(n: Column, by: Column) -> Column:
 
 
 def _links(blocks: DataFrame, classes: DataFrame, thin: DataFrame, shingle: int, part: int) -> DataFrame:
-    """Edges (u, v) between nodes of classes whose components are those of all links."""
+    """Edges (u, v) between classes whose components are those of all links."""
     # 2. candidate groups: the sets of a block go with its least one; written first, so that a join can split a hot block
     low = staged(blocks.groupBy("sig").agg(F.min("small").alias("_low"), F.max("small").alias("_high")).where("_low != _high").select("sig", "_low"), "ngram-low")
     stars = blocks.join(low, "sig").where("small != _low").select(F.col("small").alias("u"), F.col("_low").alias("v")).distinct()
     groups = components(staged(stars, "ngram-stars")).select(F.col("node").alias("small"), F.col("component").alias("grp"))
     n_met = blocks.groupBy("small").agg(F.count("*").alias("n_met"))
-    found = groups.join(n_met, "small").join(classes, "small").select("grp", "small", "node", "key", "rep", "n_shingles", "n_met")
+    found = groups.join(n_met, "small").join(classes, "small").select("grp", "small", "key", "rep", "n_shingles", "n_met")
     found = staged(found, "ngram-groups")
     size = F.greatest(F.ceil(F.count("*") / F.lit(CHUNK_DOCS)), F.ceil(F.sum("n_shingles") / F.lit(CHUNK_SHINGLES))).cast("int")
     sizes = found.groupBy("grp").agg(F.count("*").alias("n"), size.alias("chunks")).where("n > 1")
     found = found.join(sizes, "grp").withColumn("a", _chunk(F.col("chunks"), F.col("small")))
+    sets = staged(_with_tokens(found.select("grp", "chunks", "a", "small", "key", "rep"), thin, shingle).drop("key"), "ngram-sets")
     # 3a. every chunk by itself, with the hubs of its group
     large = found.where("chunks > 1")
     top = large.groupBy("grp", F.pmod("small", F.lit(HUBS)).alias("_h")).agg(F.max_by("small", F.struct("n_met", "small")).alias("small"))
-    hubs = large.join(top.select("small"), "small", "left_semi").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cols = ["grp", "a", "node", "key", "rep"]
-    sets = _with_tokens(found.select(*cols).unionByName(hubs.select(*cols)), thin, shingle)
-    rows = sets.select("grp", "a", F.col("a").alias("b"), F.lit(False).alias("second"), "node", F.col("node").alias("comp"), "tokens")
+    hubs = sets.join(top.select("small"), "small", "left_semi").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = sets.unionByName(hubs).select("grp", "a", F.col("a").alias("b"), F.lit(False).alias("second"), "small", F.col("small").alias("comp"), "tokens")
     linked = staged(_dealt(rows, part), "ngram-links")
-    large = staged(large.select("grp", "small", "node", "key", "rep"), "ngram-large")
+    large = staged(large.select("grp", "small"), "ngram-large")
     if large.isEmpty():
         return linked
     # 3b. what is in blocks with several components yet
-    comps = components(linked).withColumnRenamed("component", "comp")
-    large = staged(large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "ngram-large")
+    comps = components(linked).toDF("small", "comp")
+    large = staged(large.join(comps, "small", "left").withColumn("comp", F.coalesce("comp", "small")), "ngram-large")
     own = staged(blocks.join(large.select("small", "comp"), "small"), "ngram-own")
     mixed = staged(own.groupBy("sig").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low != _high").select("sig"), "ngram-mixed")
     rest = staged(large.join(own.join(mixed, "sig").select("small").distinct(), "small", "left_semi"), "ngram-rest")
@@ -472,14 +471,13 @@ def _links(blocks: DataFrame, classes: DataFrame, thin: DataFrame, shingle: int,
     rest = rest.join(n_comp, ["grp", "comp"]).join(n_rest, "grp", "left")
     chunks = F.ceil(F.when(F.col("own"), F.col("n")).otherwise(F.col("n_rest")) / F.lit(CHUNK_DOCS)).cast("int")
     of = F.struct(F.when(F.col("own"), F.col("comp")).alias("of"), _chunk(chunks, F.col("small")).alias("i"))
-    rest = staged(rest.select("grp", "node", "comp", "key", "rep", F.xxhash64(F.col("grp"), of["of"], of["i"]).alias("chunk"), of["of"].alias("of")), "ngram-rest")
+    rest = staged(rest.select("grp", "small", "comp", F.xxhash64(F.col("grp"), of["of"], of["i"]).alias("chunk"), of["of"].alias("of")), "ngram-rest")
     parts = rest.select("grp", "chunk", "of").distinct()
     other = parts.select("grp", F.col("chunk").alias("_c"), F.col("of").alias("_of"))
     pairs = parts.join(other, "grp").where("(of IS NULL AND _of IS NULL AND chunk <= _c) OR (of IS NULL AND _of IS NOT NULL) OR (of < _of)")
     meets = pairs.select(F.col("chunk").alias("a"), F.col("_c").alias("b"))
     sides = meets.select(F.col("a").alias("chunk"), "a", "b", F.lit(False).alias("second")).unionByName(meets.where("a != b").select(F.col("b").alias("chunk"), "a", "b", F.lit(True).alias("second")))
-    sets = _with_tokens(rest.select("grp", "chunk", "node", "comp", "key", "rep"), thin, shingle)
-    rows = sets.join(sides, "chunk").select("grp", "a", "b", "second", "node", "comp", "tokens")
+    rows = sets.select("small", "tokens").join(rest, "small").join(sides, "chunk").select("grp", "a", "b", "second", "small", "comp", "tokens")
     return linked.unionByName(staged(_dealt(rows, part), "ngram-links"))
 
 
@@ -494,12 +492,12 @@ def _classed(docs: DataFrame, shingle: int, part: int) -> DataFrame:
     sketch = staged(_mapped(thin, _sketches, schema, shingle=shingle, part=part), "ngram")
     small = _small(F.col("key"))
     classes = sketch.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n_shingles").alias("n_shingles"), F.max("need0").alias("need0"), F.max("need1").alias("need1"))
-    classes = staged(classes.withColumns({"small": small, "node": small}), "ngram-classes")
+    classes = staged(classes.withColumn("small", small), "ngram-classes")
     blocks = staged(_blocks(sketch, classes), "ngram-blocks")
     linked = _links(blocks, classes, thin, shingle, part)
     # 4. groups
-    joined = components(linked)
-    known = classes.join(joined, "node", "left").where("mult > 1 OR component IS NOT NULL").select("key", "rep", "mult", F.coalesce("component", "node").alias("comp"))
+    joined = components(linked).withColumnRenamed("node", "small")
+    known = classes.join(joined, "small", "left").where("mult > 1 OR component IS NOT NULL").select("key", "rep", "mult", F.coalesce("component", "small").alias("comp"))
     known = staged(known, "ngram-known")
     least = known.groupBy("comp").agg(F.min("rep").alias("least"))
     known = known.join(least, "comp").select("key", "mult", "comp", "least")
