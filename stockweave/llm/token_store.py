@@ -1,18 +1,22 @@
 """Token ids in a binary file format: an adaptive context-mixing range coder over independently reset blocks.
 
-Each id is first coded as one of four outcomes: it is the order-2 prediction (what followed the last two ids before),
-the order-1 prediction, an id that the block has had (order 0: its number in order of appearance follows), or a new
-one (the id follows). Three adaptive models give the outcomes' probabilities, by the confidence of the order-2 slot, by
-that of the order-1 slot, and by nothing; they are mixed with weights that follow how well each has done. Counts and
-weights change every PERIOD ids. Every block starts from the same state and has a CRC-32 of its ids, so blocks are read
-alone. Blocks of a file are coded side by side, one lane of a numpy vector each.
-
-A file is a header, the block table (ids, bytes, CRC-32), the documents' token counts and the blocks. Files are rows of
-a table in the shared folder, in ascending order of doc_id; a document's start is its place in the file plus the ids of
-all files before it.
-
-Nulls and empty texts: only the end id. Null doc_ids come first. Repeated rows are separate documents. An empty table
-gives no files. Extra columns are ignored.
+A block numbers its ids in order of appearance. Each id is first coded as one of four outcomes: it is the order-2
+prediction (what followed the last two ids before), the order-1 prediction, another id that the block has had, or a new
+one. Three adaptive models give the outcomes' probabilities, by the confidence of the order-2 slot, by that of the
+order-1 slot, and by how many ids the block has; they are mixed with weights that follow how well each has done. Counts
+and weights change with every id. An id that the block has had is then coded by order 0: its frequency in the block so
+far. A new one is coded by the number of the file's blocks that have it, a table in the file's header. Every block starts
+from the same state and has a CRC-32 of its ids, so blocks are read alone. Blocks of a file are coded side by side, one
+lane of a numpy vector each; all arithmetic is on integers, or single additions, products and quotients of doubles, whose
+results no machine may vary.
+
+A file is a header, the table of ids, the block table (ids, bytes, CRC-32), the documents' token counts and the blocks.
+Files are rows of a table in the shared folder, in ascending order of doc_id; a document's start is its place in the file
+plus the ids of all files before it.
+
+Nulls and empty texts: only the end id. Null doc_ids come first. Rows with equal doc_ids, null ones too, are separate
+documents in the order of their texts' hashes, so reruns agree. Very long texts: a document may span blocks, and a file is
+closed after the document with which it reaches FILE_IDS. An empty table gives no files. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,30 +33,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockweave.llm.common import staged
+from stockweave.llm.common import returning_memory, slices, staged
 
-MAGIC = b"SWTOKCM2"
+MAGIC = b"SWTOKCM3"
+#: A block's ids, 4096 at most: sums of their counts are kept in three levels of 16.
 BLOCK_IDS = 2048
 #: A file is closed at so many ids; it then has so many / BLOCK_IDS lanes.
 FILE_IDS = 3_000_000
 END_ID = 1
 VOCABULARY = 1 << 16
 SLOT_BITS = 11
-CACHED_WORDS = 600_000
-#: The model changes every PERIOD ids; counts are halved above MOST.
-PERIOD = 64
-MOST = 1 << 10
+CACHED_WORDS = 300_000
+#: What an outcome adds to its count; counts of a context are halved above MOST. Share of the weights that is dealt evenly.
+GAIN, MOST, EVEN = 24, 1 << 11, 0.02
 
 _TOP, _BOTTOM, _SHIFT, _WORD = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16), np.uint64(48)
 _SCALE = 1 << 16
 
 
 class _Lanes:
-    """Model of all blocks of a file: predictions and mixed outcome probabilities for the next id of each lane.
-
-    Counts and scores are integers and change every PERIOD ids only; each context's mixed frequencies are then worked
-    out at once, so that an id costs look-ups and no mixing.
-    """
+    """Model of all blocks of a file: predictions, mixed outcome probabilities and order-0 counts of the next id of each
+    lane. Ids are their numbers in order of appearance in the block."""
 
     def __init__(self, lanes: int):
         self.lanes, self.base = lanes, np.arange(lanes, dtype=np.int64) << SLOT_BITS
@@ -60,67 +61,91 @@ class _Lanes:
         # slots: the predicted id times 4, plus 0 to 3 for how often in a row it has been right
         self.slot1, self.slot2 = np.full(size, -4, np.int32), np.full(size, -4, np.int32)
         self.hash1, self.hash2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        # outcomes by order-2 context (8), by order-1 context (2), and by nothing
-        self.counts = [np.ones((lanes, 8, 1, 4), np.int32), np.ones((lanes, 1, 2, 4), np.int32), np.ones((lanes, 1, 1, 4), np.int32)]
-        self.score = np.full((3, lanes), 1 << 16, np.int64)
+        # outcomes by order-2 context, by order-1 context, and by the number of ids so far, 16 of each
+        self.counts = np.ones((3 * lanes * 16, 4), np.int32)
         self.row = np.arange(lanes, dtype=np.int64) << 4
-        self.seen, self.t = np.zeros((PERIOD, lanes), np.int64), 0
-        self._mix([np.full(c.shape, 0.25, np.float32) for c in self.counts])
-
-    def _mix(self, parts: list[np.ndarray]) -> None:
-        self.parts = parts
-        w = (self.score * self.score).astype(np.float32)
-        w = (w / (w[0] + w[1] + w[2]) * np.float32(_SCALE - 512))[:, :, None, None, None]
-        self.freq = (w[0] * parts[0] + w[1] * parts[1] + w[2] * parts[2]).astype(np.int64) + 32
-        self.start = np.zeros_like(self.freq)
-        np.cumsum(self.freq[..., :3], axis=-1, out=self.start[..., 1:])
-        self.freq[..., 3] = _SCALE - self.start[..., 3]
-        self.freq, self.start = self.freq.ravel(), self.start.ravel()
-        self.bounds = [np.ascontiguousarray(self.start[k::4]) for k in (1, 2, 3)]
-
-    def _adapt(self) -> None:
-        new = np.bincount(self.seen[: self.t].ravel(), minlength=self.lanes << 6).astype(np.int32).reshape(-1, 8, 2, 4)
-        two, one = new[:, :, :1] + new[:, :, 1:], sum(new[:, k : k + 1] for k in range(8))
-        new = [two, one, one[:, :, :1] + one[:, :, 1:]]
-        parts = []
-        for k, (n, c) in enumerate(zip(new, self.counts, strict=True)):
-            gain = (n * (self.parts[k] * np.float32(1 << 10)).astype(np.int32)).sum((1, 2, 3), dtype=np.int64)
-            self.score[k] += gain - (self.score[k] >> 3) + 1
-            c += n * 4
-            c[:] = np.where(_total(c) > MOST, (c + 1) >> 1, c)
-            parts.append(c.astype(np.float32) / _total(c).astype(np.float32))
-        self.t = 0
-        self._mix(parts)
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """For the first n lanes: order-2 and order-1 predictions; self.at is then each lane's place in the tables."""
+        self.weight = np.full((3, lanes), 1 / 3)
+        # counts of ids, of 16 ids, and of 256
+        self.single, self.some, self.many = np.zeros((lanes * 256, 16), np.int32), np.zeros((lanes * 16, 16), np.int32), np.zeros((lanes, 16), np.int32)
+
+    def predict(self, n: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the first n lanes: order-2 and order-1 predictions, the frequencies of the outcomes (4, n) and their sums
+        from the first on. known: how many ids each block has had."""
         mask = (1 << SLOT_BITS) - 1
         self.at1 = self.base[:n] + (self.hash1[:n] >> 7 & mask)
         self.at2 = self.base[:n] + (self.hash1[:n] + self.hash2[:n] >> 9 & mask)
         self.got1, self.got2 = self.slot1.take(self.at1), self.slot2.take(self.at2)
         p1, p2 = self.got1 >> 2, self.got2 >> 2
-        self.at = self.row[:n] + ((self.got2 & 3) << 1 | (p1 == p2).view(np.int8).astype(np.int32) << 3 | self.got1 >> 1 & 1)
-        return p2, p1
+        sure1, sure2 = self.got1 & 3, self.got2 & 3
+        agree = (p1 == p2).view(np.int8).astype(np.int64) << 2
+        row, step = self.row[:n], self.lanes << 4
+        have2 = (p2 >= 0).view(np.int8).astype(np.int64) << 3
+        self.at = np.empty((3, n), np.int64)
+        self.at[0] = row + (sure2 | agree | have2)
+        self.at[1] = row + (sure1 | agree | (p1 >= 0).view(np.int8).astype(np.int64) << 3) + step
+        self.at[2] = row + _BITS.take(known[:n]) + 2 * step
+        held = np.ascontiguousarray(self.counts.take(self.at.ravel(), axis=0).T).reshape(4, 3, n)  # the last axis is the long one
+        self.whole = held[0] + held[1] + held[2] + held[3]
+        self.parts = held / self.whole
+        mixed = self.parts * self.weight[:, :n]
+        freq = np.empty((4, n), np.int64)
+        np.multiply(mixed[:, 0] + mixed[:, 1] + mixed[:, 2], _SCALE - 128, out=freq, casting="unsafe")
+        freq += 32
+        start = np.zeros((4, n), np.int64)
+        start[1] = freq[0]
+        np.add(start[1], freq[1], out=start[2])
+        np.add(start[2], freq[2], out=start[3])
+        np.subtract(_SCALE, start[3], out=freq[3])
+        return p2, p1, freq, start
 
     def learn(self, n: int, ids: np.ndarray, outcome: np.ndarray) -> None:
-        self.seen[self.t, :n] = (self.at << 2) + outcome
-        self.t += 1
+        # how well each model has done, and its counts
+        right = self.parts.ravel().take(outcome * (3 * n) + np.arange(3 * n).reshape(3, n))
+        w = self.weight[:, :n] * right
+        w /= w[0] + w[1] + w[2]
+        self.weight[:, :n] = w * (1 - EVEN) + EVEN / 3
+        flat = self.counts.reshape(-1)
+        flat[(self.at << 2) + outcome] += GAIN
+        full = self.at[self.whole > MOST]
+        if len(full):
+            self.counts[full] = (self.counts[full] + 1) >> 1
+        # order 0
+        lane = self.row[:n] >> 4
+        self.single.reshape(-1)[(lane << 12) + ids] += 1
+        self.some.reshape(-1)[(lane << 8) + (ids >> 4)] += 1
+        self.many.reshape(-1)[(lane << 4) + (ids >> 8)] += 1
         four = ids.astype(np.int32) << 2
         for slot, got, where in ((self.slot1, self.got1, self.at1), (self.slot2, self.got2, self.at2)):
             run = got ^ four  # below 4 if the slot was right
-            slot[where] = four | _NEXT.take(np.minimum(run.view(np.uint32), np.uint32(4)))
+            hit = run.view(np.uint32) < 4
+            # a slot that has been right gives way only when it has lost its confidence
+            slot[where] = np.where(hit, four | np.minimum((got & 3) + 1, 3), np.where((got & 3) > 1, got - 2, four))
         np.multiply(self.hash1[:n], 31, out=self.hash2[:n])
-        np.multiply(ids, 2654435761, out=self.hash1[:n])
-        if self.t == PERIOD:
-            self._adapt()
+        np.multiply(ids + 1, 2654435761, out=self.hash1[:n])
 
+    def place(self, lane: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, frequency) of ids by their counts in their lanes."""
+        start = np.zeros(len(lane), np.int64)
+        for table, row, digit in ((self.many, lane, ids >> 8), (self.some, (lane << 4) + (ids >> 8), ids >> 4 & 15), (self.single, (lane << 8) + (ids >> 4), ids & 15)):
+            start += np.einsum("ij,ij->i", table.take(row, axis=0), _BELOW.take(digit, axis=0))
+        return start, self.single.reshape(-1)[(lane << 12) + ids].astype(np.int64)
 
-def _total(c: np.ndarray) -> np.ndarray:
-    return c[..., :1] + c[..., 1:2] + c[..., 2:3] + c[..., 3:]
+    def find(self, lane: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The ids whose ranges hold target."""
+        ids, left = np.zeros(len(lane), np.int64), target.astype(np.int32)
+        for table, shift in ((self.many, 0), (self.some, 4), (self.single, 8)):
+            rows = np.ascontiguousarray(table.take((lane << shift) + ids, axis=0).T)
+            np.cumsum(rows, axis=0, out=rows)
+            digit = (rows <= left).sum(0, dtype=np.int64)
+            left = left - np.where(digit > 0, rows.ravel().take(np.maximum(digit - 1, 0) * len(lane) + np.arange(len(lane))), 0)
+            ids = ids << 4 | digit
+        return ids
 
 
-#: How often in a row a slot has been right, after 0 to 3 times and a hit, and after a miss.
-_NEXT = np.array([1, 2, 3, 3, 0], np.int32)
+#: For a digit of 16, ones at those below it.
+_BELOW = np.tri(16, k=-1, dtype=np.int32)
+#: Bits of a number of ids, as a context.
+_BITS = np.array([int(k).bit_length() for k in range(BLOCK_IDS + 1)], np.int64)
 
 
 def _narrow(low: np.ndarray, rng: np.ndarray, move) -> None:
@@ -144,15 +169,15 @@ class _Encoder:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
         self.out, self.n = np.zeros((lanes, 2 * ids + 16), ">u2"), np.zeros(lanes, np.int64)
 
-    def code(self, n: int, start: np.ndarray, freq: np.ndarray, own: np.ndarray, value: np.ndarray, total: np.ndarray) -> None:
-        """The outcomes of the first n lanes, and for the lanes own also a value below total."""
+    def code(self, n: int, start: np.ndarray, freq: np.ndarray, own: np.ndarray, low_: np.ndarray, many: np.ndarray, total: np.ndarray) -> None:
+        """The outcomes of the first n lanes, and for the lanes own also a range of so many from low_ on, of total."""
         low, rng = self.low[:n], self.range[:n]
         rng >>= _SHIFT
         low += start.astype(np.uint64) * rng
         rng *= freq.astype(np.uint64)
         unit = rng[own] // total.astype(np.uint64)
-        low[own] += value.astype(np.uint64) * unit
-        rng[own] = unit
+        low[own] += low_.astype(np.uint64) * unit
+        rng[own] = unit * many.astype(np.uint64)
         _narrow(low, rng, self._put)
 
     def _put(self, lanes: np.ndarray, low: np.ndarray) -> None:
@@ -183,18 +208,18 @@ class _Decoder:
         self.range[:n] >>= _SHIFT
         return np.minimum((self.code[:n] - self.low[:n]) // self.range[:n], np.uint64(_SCALE - 1)).astype(np.int64)
 
-    def take(self, n: int, start: np.ndarray, freq: np.ndarray, own: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Take the outcomes of the first n lanes; returns the values below total of the lanes own."""
+    def take(self, n: int, start: np.ndarray, freq: np.ndarray, own: np.ndarray, total: np.ndarray, find) -> None:
+        """Take the outcomes of the first n lanes; find gives the (start, many) of the ranges of total that values lie in."""
         low, rng = self.low[:n], self.range[:n]
         low += start.astype(np.uint64) * rng
         rng *= freq.astype(np.uint64)
         total = total.astype(np.uint64)
         unit, base = rng[own] // total, low[own]
         value = np.minimum((self.code[own] - base) // unit, total - np.uint64(1))
-        low[own] = base + value * unit
-        rng[own] = unit
+        begin, many = find(value.astype(np.int64))
+        low[own] = base + begin.astype(np.uint64) * unit
+        rng[own] = unit * many.astype(np.uint64)
         _narrow(low, rng, self._get)
-        return value.astype(np.int64)
 
     def _get(self, lanes: np.ndarray, low: np.ndarray) -> None:
         at = self.n[lanes]
@@ -216,13 +241,23 @@ def _appearance(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return new, (np.cumsum(new) - 1)[at]
 
 
-def encode_blocks(ids: np.ndarray, size: int = BLOCK_IDS) -> list[bytes]:
-    """The coded blocks of an array of ids below VOCABULARY."""
+def new_ids(ids: np.ndarray, size: int = BLOCK_IDS) -> np.ndarray:
+    """For every id the number of blocks that have it."""
+    out = np.zeros(VOCABULARY, np.int64)
+    for i in range(0, len(ids), size):
+        out[np.unique(ids[i : i + size])] += 1
+    return out
+
+
+def encode_blocks(ids: np.ndarray, size: int = BLOCK_IDS, table: np.ndarray | None = None) -> list[bytes]:
+    """The coded blocks of an array of ids below VOCABULARY; table: what new_ids gives."""
     blocks = [ids[i : i + size] for i in range(0, len(ids), size)]
     if not blocks:
         return []
+    table = new_ids(ids, size) if table is None else table
+    before = np.concatenate([[0], np.cumsum(table)])
     sizes = np.array([len(b) for b in blocks])
-    grid, new, rank = np.zeros((size, len(blocks)), np.int64), np.zeros((size, len(blocks)), bool), np.zeros((size, len(blocks)), np.int64)
+    grid, new, rank = np.zeros((size, len(blocks)), np.int32), np.zeros((size, len(blocks)), bool), np.zeros((size, len(blocks)), np.int16)
     first = np.empty(VOCABULARY, np.int64)
     for i, b in enumerate(blocks):
         grid[: len(b), i] = b
@@ -230,52 +265,65 @@ def encode_blocks(ids: np.ndarray, size: int = BLOCK_IDS) -> list[bytes]:
     model, coder, known = _Lanes(len(blocks)), _Encoder(len(blocks), size), np.zeros(len(blocks), np.int64)
     for t in range(sizes.max()):
         n = _live(sizes, t)
-        x, fresh = grid[t, :n], new[t, :n]
-        p2, p1 = model.predict(n)
-        outcome = np.where(x == p2, 0, np.where(x == p1, 1, 2 + fresh))
-        at = (model.at << 2) + outcome
+        fresh, r = new[t, :n], rank[t, :n].astype(np.int64)
+        p2, p1, freq, start = model.predict(n, known)
+        outcome = np.where(fresh, 3, np.where(r == p2, 0, np.where(r == p1, 1, 2)))
         own = np.flatnonzero(outcome > 1)
-        new_id = outcome[own] == 3
-        coder.code(n, model.start.take(at), model.freq.take(at), own, np.where(new_id, x[own], rank[t].take(own)), np.where(new_id, VOCABULARY, known[own]))
+        seen, newly = own[outcome[own] == 2], own[outcome[own] == 3]
+        own = np.concatenate([seen, newly])
+        x = grid[t].take(newly)
+        low0, many0 = model.place(seen, r[seen])
+        lane = np.arange(n)
+        coder.code(
+            n, start.ravel().take(outcome * n + lane), freq.ravel().take(outcome * n + lane), own, np.concatenate([low0, before[x]]), np.concatenate([many0, table[x]]),
+            np.concatenate([np.full(len(seen), t), np.full(len(newly), before[-1])]),
+        )
         known[:n] += fresh
-        model.learn(n, x, outcome)
+        model.learn(n, r, outcome)
     return coder.finish()
 
 
-def decode_blocks(blocks: list[bytes], sizes: list[int]) -> np.ndarray:
+def decode_blocks(blocks: list[bytes], sizes: list[int], table: np.ndarray) -> np.ndarray:
     if not blocks:
         return np.empty(0, np.int64)
+    before = np.concatenate([[0], np.cumsum(table)])
     sizes = np.array(sizes)
     most = sizes.max()
     model, coder = _Lanes(len(blocks)), _Decoder(blocks)
-    grid, seen, known = np.zeros((most, len(blocks)), np.int64), np.zeros((len(blocks), most), np.int64), np.zeros(len(blocks), np.int64)
+    grid, seen_ids, known = np.zeros((most, len(blocks)), np.int16), np.zeros((len(blocks), most), np.int32), np.zeros(len(blocks), np.int64)
     for t in range(most):
         n = _live(sizes, t)
-        p2, p1 = model.predict(n)
+        p2, p1, freq, start = model.predict(n, known)
         target = coder.target(n)
-        outcome = np.zeros(n, np.int64)
-        for bound in model.bounds:
-            outcome += target >= bound.take(model.at)
-        at = (model.at << 2) + outcome
+        outcome = (target >= start[1]).astype(np.int64) + (target >= start[2]) + (target >= start[3])
         own = np.flatnonzero(outcome > 1)
-        new_id = outcome[own] == 3
-        value = coder.take(n, model.start.take(at), model.freq.take(at), own, np.where(new_id, VOCABULARY, known[own]))
-        x = np.where(outcome == 0, p2, p1).astype(np.int64)
-        x[own] = np.where(new_id, value, seen[own, np.where(new_id, 0, value)])
-        fresh = own[new_id]
-        seen[fresh, known[fresh]] = x[fresh]
-        known[fresh] += 1
-        model.learn(n, x, outcome)
-        grid[t, :n] = x
-    return np.concatenate([grid[:s, i] for i, s in enumerate(sizes)])
+        seen, newly = own[outcome[own] == 2], own[outcome[own] == 3]
+        own = np.concatenate([seen, newly])
+        r = np.where(outcome == 0, p2, p1).astype(np.int64)
+
+        def find(value: np.ndarray, seen=seen, newly=newly, r=r) -> tuple[np.ndarray, np.ndarray]:
+            r[seen] = model.find(seen, value[: len(seen)])
+            x = np.searchsorted(before, value[len(seen) :], "right") - 1
+            r[newly] = known[newly]
+            seen_ids[newly, known[newly]] = x
+            low0, many0 = model.place(seen, r[seen])
+            return np.concatenate([low0, before[x]]), np.concatenate([many0, table[x]])
+
+        lane = np.arange(n)
+        coder.take(n, start.ravel().take(outcome * n + lane), freq.ravel().take(outcome * n + lane), own, np.concatenate([np.full(len(seen), t), np.full(len(newly), before[-1])]), find)
+        known[newly] += 1
+        model.learn(n, r, outcome)
+        grid[t, :n] = r
+    return np.concatenate([seen_ids[i, grid[:s, i]] for i, s in enumerate(sizes)]).astype(np.int64)
 
 
 def write_file(ids: np.ndarray, counts: np.ndarray, size: int = BLOCK_IDS) -> bytes:
     """A file of documents with these token counts, whose ids follow each other."""
-    blocks = encode_blocks(ids, size)
+    table = new_ids(ids, size)
+    blocks = encode_blocks(ids, size, table)
     rows = [(min(size, len(ids) - i * size), len(b), zlib.crc32(ids[i * size : (i + 1) * size].astype("<u4").tobytes())) for i, b in enumerate(blocks)]
-    docs = zlib.compress(counts.astype("<u4").tobytes())
-    return b"".join([MAGIC, struct.pack("<IIQII", len(counts), len(docs), len(ids), len(blocks), size), docs, np.array(rows, "<u4").tobytes(), *blocks])
+    docs, held = zlib.compress(counts.astype("<u4").tobytes()), zlib.compress(table.astype("<u2").tobytes() if len(blocks) < 1 << 16 else table.astype("<u4").tobytes(), 9)
+    return b"".join([MAGIC, struct.pack("<IIIQII", len(counts), len(docs), len(held), len(ids), len(blocks), size), docs, held, np.array(rows, "<u4").tobytes(), *blocks])
 
 
 def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -283,12 +331,15 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token file")
     at = len(MAGIC)
-    n_docs, n_bytes, n_ids, n_blocks, _ = struct.unpack_from("<IIQII", data, at)
-    at += struct.calcsize("<IIQII")
+    n_docs, n_bytes, n_held, n_ids, n_blocks, _ = struct.unpack_from("<IIIQII", data, at)
+    at += struct.calcsize("<IIIQII")
     counts = np.frombuffer(zlib.decompress(data[at : at + n_bytes]), "<u4").astype(np.int64)
-    rows = np.frombuffer(data, "<u4", 3 * n_blocks, at + n_bytes).reshape(-1, 3)
-    ends = at + n_bytes + 12 * n_blocks + np.cumsum(rows[:, 1], dtype=np.int64)
-    ids = decode_blocks([data[e - s : e] for e, s in zip(ends.tolist(), rows[:, 1].tolist(), strict=True)], rows[:, 0].tolist())
+    at += n_bytes
+    table = np.frombuffer(zlib.decompress(data[at : at + n_held]), "<u2" if n_blocks < 1 << 16 else "<u4").astype(np.int64)
+    at += n_held
+    rows = np.frombuffer(data, "<u4", 3 * n_blocks, at).reshape(-1, 3)
+    ends = at + 12 * n_blocks + np.cumsum(rows[:, 1], dtype=np.int64)
+    ids = decode_blocks([data[e - s : e] for e, s in zip(ends.tolist(), rows[:, 1].tolist(), strict=True)], rows[:, 0].tolist(), table)
     lo = 0
     for size, _, crc in rows.tolist():
         if zlib.crc32(ids[lo : lo + size].astype("<u4").tobytes()) != crc:
@@ -325,7 +376,7 @@ class WordEncoder:
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.of_piece: dict[str, list[int]] = {}
-        self.ids, self.ends = np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.ids, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def word(self, w: str) -> list[int]:
         if w.isalpha() and w.isascii():  # one pre-token
@@ -354,7 +405,7 @@ class WordEncoder:
         fresh = list(set(flat).difference(self.place))
         coded = list(map(self.word, fresh))
         self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
-        self.ids = np.concatenate([self.ids, np.array([x for c in coded for x in c], np.int64)])
+        self.ids = np.concatenate([self.ids, np.array([x for c in coded for x in c], np.int32)])
         ends = self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))])
         at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
         first, size = ends[at], ends[at + 1] - ends[at]
@@ -393,20 +444,19 @@ def _writer(path: str):
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["first_doc", "docs", "n_ids", "data"])
 
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                got, n = encoder.encode([t or "" for t in b.column(1)[lo : lo + 512].to_pylist()])
-                ids.append(got.astype(np.int32))
-                counts.append(n)
-                docs += b.column(0)[lo : lo + 512].to_pylist()
-                held += len(got)
-                if held >= FILE_IDS:
-                    yield close()
-                    docs, ids, counts, held = [], [], [], 0
+        for b in slices(batches, 1024, 1 << 21):
+            got, n = encoder.encode([t or "" for t in b.column(1).to_pylist()])
+            ids.append(got.astype(np.int32))
+            counts.append(n)
+            docs += b.column(0).to_pylist()
+            held += len(got)
+            if held >= FILE_IDS:
+                yield close()
+                docs, ids, counts, held = [], [], [], 0
         if docs:
             yield close()
 
-    return write
+    return returning_memory(write)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,16 +472,20 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_tokens(docs: DataFrame, path: str) -> DataFrame:
     """The files of docs, as a table in the shared folder: file (in ascending order), docs, n_ids, data."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("_tie", F.xxhash64("text")).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
     files = rows.mapInArrow(_writer(path), "first_doc long, docs array<long>, n_ids long, data binary")
     return staged(files.select((F.spark_partition_id().cast("long") * 2**32 + F.monotonically_increasing_id() % 2**32).alias("file"), "first_doc", "docs", "n_ids", "data"), "tokens")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    starts = files.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
-    docs = files.select("file", "docs", "data").mapInArrow(_read, "file long, doc_id long, place long, n_tokens long, ids_crc32 long")
+    # a file's number has that of its task in front; sums go over the tasks first, then over the files of each
+    thin = files.select("file", F.shiftright("file", 32).alias("task"), "n_ids")
+    ahead = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = thin.groupBy("task").agg(F.sum("n_ids").alias("n")).select("task", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("task").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = thin.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(tasks, "task").select("file", (F.col("ahead") + F.col("inside")).alias("first"))
+    docs = files.select("file", "docs", "data").mapInArrow(returning_memory(_read), "file long, doc_id long, place long, n_tokens long, ids_crc32 long")
     docs = staged(docs, "token-docs")  # decoded once, whatever the join's strategy becomes
     return docs.join(starts, "file").select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -330,6 +330,31 @@ def test_token_blocks_of_any_shape():
     sources = [rng.integers(0, 65536, 3000), np.zeros(5000, int), rng.integers(0, 3, 4097), np.tile(rng.integers(0, 49408, 7), 600), np.minimum(rng.zipf(1.3, 2500), 65535)]
     for ids in sources:
         for size in (1, 64, 300, 2048):
+            table = token_store.new_ids(ids, size)
             blocks = token_store.encode_blocks(ids, size)
-            assert (token_store.decode_blocks(blocks, [min(size, len(ids) - i) for i in range(0, len(ids), size)]) == ids).all()
-    assert token_store.decode_blocks(token_store.encode_blocks(np.empty(0, int)), []).size == 0
+            assert (token_store.decode_blocks(blocks, [min(size, len(ids) - i) for i in range(0, len(ids), size)], table) == ids).all()
+            # blocks are coded apart from each other: any of them is read alone
+            assert (token_store.decode_blocks(blocks[-1:], [len(ids) - (len(blocks) - 1) * size], table) == ids[(len(blocks) - 1) * size :]).all()
+    assert token_store.decode_blocks(token_store.encode_blocks(np.empty(0, int)), [], token_store.new_ids(np.empty(0, int))).size == 0
+
+
+def test_the_coder_adapts():
+    rng = np.random.default_rng(1)
+    ids = np.minimum(rng.zipf(1.4, 40_000), 40_000)  # no order but frequencies
+    n = np.bincount(ids)
+    p = n[n > 0] / len(ids)
+    data = token_store.write_file(ids, np.array([len(ids)]))
+    assert 8 * len(data) / len(ids) < 1.25 * -(p * np.log2(p)).sum()
+    again = token_store.write_file(np.tile(rng.integers(0, 49408, 40), 1000), np.array([40_000]))
+    assert 8 * len(again) / 40_000 < 0.6
+
+
+def test_token_store_of_equal_and_missing_ids(spark):
+    rows = [(None, "one two"), (None, "one two"), (None, None), (7, "b a c"), (7, "a"), (7, "b a c"), (7, ""), (8, "x " * 9000), (9, "z")]
+    files = lambda n: token_store.read_tokens(token_store.write_tokens(spark.createDataFrame([(*r, "f") for r in rows], "doc_id long, text string, file string").repartition(n), token_store.default_tokenizer()))
+    got = sorted(files(1).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [r[0] for r in rows]
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+    assert sorted(files(5).collect(), key=lambda r: r.start) == got
+
+
