@@ -7,12 +7,14 @@ probability 1 - (1 - s) ** BANDS, over 0.99999 at s = 0.5 with 20 bands; a windo
 does. A window can only share a band if the template's least shingle is in it, so windows are taken around the places
 of those shingles; this is the same retrieval, without windows that can't collide. What is retrieved is verified by
 exact containment: at least CONTAINMENT of the template's shingles are in the window. A shorter template or text has no
-shingle and is never found.
+shingle and is never found. Of long licenses the catalogue has the passages that name and grant them.
 
 Everything happens within a row: no shuffle. The templates are a fixed catalogue and part of the plan.
 
-Nulls and empty texts: no licenses. Repeated rows and ties give equal results. An empty table gives an empty one. Input
-columns are dropped but for doc_id.
+Nulls and empty texts: no licenses. Repeated rows and ties give equal results; of windows of equal containment any counts,
+as only the containment is returned. Very long texts: each place of a text is the start of one window at most, however
+often notices repeat, so time grows with the text's length. An empty table gives an empty one. Input columns are dropped
+but for doc_id.
 """
 
 from __future__ import annotations
@@ -56,6 +58,57 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT-whole": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        "(the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT "
+        "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS "
+        "OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING "
+        "FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+        "AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED."
+    ),
+    "BSD-3-Clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission."
+    ),
+    "ISC-whole": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL "
+        "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+    ),
+    "Zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely"
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+        "covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare "
+        "derivative works of the Software"
+    ),
+    "Apache-2.0-grant": (
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, "
+        "no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, "
+        "sublicense, and distribute the Work and such Derivative Works in Source or Object form."
+    ),
+    "GPL-preamble": (
+        "The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, "
+        "the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program"
+    ),
+    "MPL-2.0-grant": (
+        "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license: under intellectual property rights (other than patent "
+        "or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit "
+        "its Contributions"
+    ),
 }
 
 
@@ -89,16 +142,20 @@ def _matches(h: Column, template: dict) -> Column:
     own_set = F.array(*[F.lit(x) for x in own])
     wanted = dict.fromkeys(keys)
 
-    def windows(i: Column) -> Column:
-        # windows of m shingles that hold place i
-        return F.transform(F.sequence(F.greatest(i - (m - 1), F.lit(0)), F.greatest(F.least(i, F.size(h) - m), F.greatest(i - (m - 1), F.lit(0)))), lambda s: F.struct(s.alias("place"), F.slice(h, s + 1, m).alias("w")))
+    def starts(i: Column) -> Column:
+        # of the windows of m shingles that hold place i
+        first = F.greatest(i - (m - 1), F.lit(0))
+        return F.sequence(first, F.greatest(F.least(i, F.size(h) - m), first))
+
+    def window(i: Column) -> Column:
+        return F.struct(i.alias("place"), F.slice(h, i + 1, m).alias("w"))
 
     def collides(w: Column) -> Column:
         hits = [_least(w, b) == F.lit(key) for b, key in enumerate(keys)]
         return reduce(lambda a, c: a | c, hits)
 
     places = F.filter(F.transform(h, lambda x, i: F.when(x.isin(list(wanted)), i)), lambda i: i.isNotNull())
-    retrieved = F.filter(F.array_distinct(F.flatten(F.transform(places, windows))), lambda c: collides(c["w"]))
+    retrieved = F.filter(F.transform(F.array_distinct(F.flatten(F.transform(places, starts))), window), lambda c: collides(c["w"]))
     scored = F.transform(retrieved, lambda c: F.struct((F.size(F.array_intersect(c["w"], own_set)) / F.lit(float(m))).alias("containment"), c["place"].alias("place")))
     return F.array_max(F.filter(scored, lambda c: c["containment"] >= CONTAINMENT))
 

@@ -5,8 +5,8 @@ where at least a third of a row repeats the row above); the reader tests every c
 filters with numpy. The feature is a 64-bit hash: the image is averaged to 32 x 32, and the 8 x 8 lowest frequencies of
 its cosine transform are compared with their median.
 
-Nulls: a null text is an empty one; its payload is one row of spaces. Repeated rows and ties give equal values. An
-empty table gives an empty one. Extra columns are ignored.
+Nulls: a null text is an empty one; its payload is one row of spaces. Repeated rows and ties give equal values. Very
+long texts are one image, whose height follows the length. An empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.common import staged
+from stockweave.llm.common import returning_memory, slices, staged
 
 MAGIC = b"\x89PNG\r\n\x1a\n"
 WIDTH = 192
@@ -117,15 +117,14 @@ def cosine_hash(rows: np.ndarray) -> bytes:
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo in range(0, b.num_rows, 256):
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1)[lo : lo + 256].to_pylist()]
-            png = [write_png(x.ljust(max(1, -(-len(x) // WIDTH)) * WIDTH)) for x in raw]
-            yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + 256], pa.array(map(len, raw), pa.int64()), pa.array(png, pa.binary())], names=["doc_id", "n_bytes", "media"])
+    for b in slices(batches):
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
+        png = [write_png(x.ljust(max(1, -(-len(x) // WIDTH)) * WIDTH)) for x in raw]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, raw), pa.int64()), pa.array(png, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         out: list[list] = [[] for _ in range(7)]
         for data in b.column(2).to_pylist():
             rows = read_png(data)
@@ -139,13 +138,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (PNG), as a table in the shared folder."""
-    return staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary"), "media")
+    return staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(returning_memory(_store), "doc_id long, n_bytes long, media binary"), "media")
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """Of stored media: sizes and digests of payload and image, and the hash, as text and as a binary column."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        _features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, phash binary"
+        returning_memory(_features), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, phash binary"
     )
 
 

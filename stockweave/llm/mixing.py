@@ -3,15 +3,20 @@
 Every document of a source has the same number of expected copies, target / source size. Their prefix sum within the
 source is that number times the rank of the document, so ranks are all that has to be counted. Ranks come in two
 levels: a window inside small cells (source, size class, salt), and a prefix sum over the counts of the cells; no task
-ever holds a whole source. One random offset a source, and a document is emitted once per integer boundary that its
+ever holds a whole source. A salt is a hash of the doc_id; there are as many as give each of them max(ROWS_PER_SALT, square
+root of all rows) rows, so both levels grow with the root. One random offset a source, and a document is emitted once per integer boundary that its
 stretch of the prefix sum crosses.
 
 Nulls: a null text has size 0; null sources form one source, the last one; a null doc_id is kept. Repeated rows are
-separate documents. An empty table gives an empty one. Input columns of the result's names are replaced.
+separate documents. Ties of size are ordered by doc_id and then by the text's hash, so reruns agree but for rows that are
+equal in all three, which may swap their copies. Very long texts are counted whole. An empty table gives an empty one.
+Input columns of the result's names are replaced.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +25,7 @@ from stockweave.llm.common import staged, words_of
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-ROWS_PER_SALT = 50_000
+ROWS_PER_SALT = 2_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -55,21 +60,24 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs with size and the source's key."""
+    """docs with size, the source's key and a hash of the text."""
     return docs.withColumns({
+        "_tie": F.md5(F.coalesce(F.col("text"), F.lit(""))),
         "size": F.when(F.col("text").isNull(), 0).otherwise(F.size(words_of(F.col("text")))).cast("long"),
         "_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
     })
 
 
 def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "mix", rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """docs (with text, or with size and _key instead) plus size, source_size, target, copies and taken."""
+    """docs (with text, or with size, _key and _tie instead) plus size, source_size, target, copies and taken."""
     base = docs if "_key" in docs.columns else sized(docs)
     thin = base if "text" not in docs.columns else staged(base.select("_key", "size", "doc_id"), "mix-sizes")
-    salts = max(1, -(-thin.count() // rows_per_salt))
+    n = thin.count()
+    salts = max(1, math.ceil(n / max(rows_per_salt, math.ceil(math.sqrt(n)))))
+    hashed = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
 
     def celled(df: DataFrame) -> DataFrame:
-        return df.withColumns({"_class": F.length(F.bin("size")), "_salt": F.coalesce(F.pmod(F.col("doc_id"), F.lit(salts)), F.lit(0)).cast("long")})
+        return df.withColumns({"_class": F.length(F.bin("size")), "_salt": F.coalesce(F.pmod(hashed, F.lit(salts)), F.lit(0)).cast("long")})
 
     cells = celled(thin).groupBy("_key", "_class", "_salt").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
     sources = source_targets(cells.groupBy("_key").agg(F.sum("_size").alias("source_size")), weights, share, cap)
@@ -81,7 +89,7 @@ def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
         .select("_key", "_class", "_salt", "_ahead", "source_size", "target", "_rate", offset.alias("_offset"))
     )
     cells = staged(cells, "mix-cells")
-    inside = Window.partitionBy("_key", "_class", "_salt").orderBy("size", "doc_id")
+    inside = Window.partitionBy("_key", "_class", "_salt").orderBy("size", "doc_id", "_tie")
     ranked = celled(base.drop("source_size", "target", "copies", "taken")).withColumn("_rank", F.row_number().over(inside))
     rank = F.col("_ahead") + F.col("_rank")
     copies = F.floor(F.col("_rate") * rank + F.col("_offset")) - F.floor(F.col("_rate") * (rank - 1) + F.col("_offset"))
@@ -89,7 +97,7 @@ def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
         ranked.join(cells, ["_key", "_class", "_salt"])
         .withColumn("copies", copies.cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("_key", "_class", "_salt", "_rank", "_ahead", "_rate", "_offset")
+        .drop("_key", "_class", "_salt", "_rank", "_ahead", "_rate", "_offset", "_tie")
     )
 
 
@@ -101,13 +109,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return with_copies(staged(sized(docs).select("doc_id", "size", "_key"), "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return with_copies(staged(sized(docs).select("doc_id", "size", "_key", "_tie"), "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 ORACLE = r"""
 WITH base AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS k,
-         COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+         COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::UBIGINT AS h, md5(COALESCE(text, '')) AS tie
   FROM documents),
 src AS (SELECT k, SUM(size)::BIGINT AS source_size FROM base GROUP BY k),
 pos AS (SELECT *, CASE (row_number() OVER (ORDER BY k = 'n', k) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
@@ -118,8 +126,8 @@ lev AS (SELECT *, 2.0::DOUBLE * source_size AS most,
 tgt AS (SELECT *, COALESCE(LEAST(most, w * (SELECT level FROM lev WHERE most / w >= level ORDER BY most / w, p LIMIT 1)), most) AS target FROM lev),
 rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
   ('0x' || substr(md5('mix:' || k), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM tgt),
-salts AS (SELECT GREATEST(1, (COUNT(*) + 49999) // 50000) AS s FROM base),
-ranked AS (SELECT b.*, row_number() OVER (PARTITION BY k ORDER BY length(bin(size)), doc_id % s, size, doc_id) AS r FROM base b, salts),
+salts AS (SELECT GREATEST(1, ceil(COUNT(*)::DOUBLE / GREATEST(2000, ceil(sqrt(COUNT(*))))))::UBIGINT AS s FROM base),
+ranked AS (SELECT b.*, row_number() OVER (PARTITION BY k ORDER BY length(bin(size)), h % s, size, doc_id, tie) AS r FROM base b, salts),
 emitted AS (SELECT doc_id, size, source_size, target, (floor(rate * r + u) - floor(rate * (r - 1) + u))::BIGINT AS copies FROM ranked JOIN rates USING (k))
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM emitted
 """

@@ -4,7 +4,9 @@ Rules run over each whole text. Failures are counted by host, the failure rates
 parameters are fitted to the hosts' own rates (method of moments), and a host whose shrunk rate reaches the limit is
 rejected with all its documents.
 
-Nulls: a null text counts as empty and fails the rule on length; null hosts form one host; null doc_ids are kept. An
+Nulls: a null text counts as empty and fails the rule on length; null hosts form one host; null doc_ids are kept.
+Repeated rows and ties are separate documents, and each counts for its host. Very long texts are measured whole: repeated
+windows are found by a search in the list of them, or by sorting where that would take over SCAN_LIMIT comparisons. An
 empty table gives an empty one. Input columns of the result's names are replaced.
 """
 

@@ -9,8 +9,10 @@ Of records with equal payloads of at least min_bytes bytes, that with the larges
 are revisits that refer to it. Payloads are compared by SHA-256.
 
 Nulls: a null html is an empty payload, a null url becomes urn:page:<page_id>; a null page_id is kept, and is the
-response of its payload only if no other row has it. Repeated rows of the largest page_id are all responses. An empty
-table gives no archives. Extra columns are ignored.
+response of its payload only if no other row has it. Repeated rows of the largest page_id are all responses, and so are
+other ties. Very long payloads are one record, and an archive that reaches ARCHIVE_BYTES with one is closed; only its
+first 64 KB are looked at for the dictionary. That is built from a sample: records spread evenly over the archive, of
+SAMPLE_BYTES to twice as many. An empty table gives no archives. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.common import staged
+from stockweave.llm.common import returning_memory, slices, staged
 
 SKIPPABLE = 0x184D2A5D
 MIN_BYTES = 1000
@@ -129,7 +131,7 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([data], pa.binary())], names=["archive", "n_records", "data"])
 
     held, size = [], 0
-    for b in batches:
+    for b in slices(batches):
         for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
             held.append(record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers_to))
             size += len(held[-1])
@@ -157,13 +159,13 @@ def write_warc(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     rows = rows.join(firsts, ["_digest", "_salt"], "left")
     refers = F.when(F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
-    archives = rows.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_archives, "archive string, n_records long, data binary")
+    archives = rows.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(returning_memory(_archives), "archive string, n_records long, data binary")
     return staged(archives, "warc")
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type and refers_to of every record."""
-    return archives.select("data").mapInArrow(_records, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("data").mapInArrow(returning_memory(_records), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def export(archives: DataFrame, folder: str) -> int:
