@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from stockweave.functions.text import strip
 
-#: Longest range that is expanded; longer ones stay as they are.
-RANGE_CAP = 100_000
+#: Longest range that is expanded; one of more stays as it is. A row of a million designators takes about 100 MB while it
+#: is made, so tasks of an executor may meet some at once; the limit is a parameter.
+RANGE_CAP = 1_000_000
 _ONE = r"^([A-Za-z]+)([0-9]{1,18})$"
 
 
@@ -20,7 +21,8 @@ def _let(value: Column, body) -> Column:
 def expand(c: Column, cap: int = RANGE_CAP) -> Column:
     """"R3, R1-R2, X?" -> "R1, R2, R3, X?": prefixes in order, then numbers, then what has another form.
 
-    A range with its ends swapped gives nothing, unless nothing else is left: then the text stays. Digits are ASCII.
+    A range with its ends swapped gives nothing, unless nothing else is left: then the text stays. Digits are ASCII. A cell
+    that is one designator, as most are, needs no lists.
     """
     text = "cast(null as string)"
 
@@ -62,4 +64,4 @@ def expand(c: Column, cap: int = RANGE_CAP) -> Column:
         return _let(tokens, found)
 
     clean = F.regexp_replace(F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r",\s*$", ""), r"\s*,\s*", ", ")
-    return _let(clean, joined)
+    return _let(clean, lambda x: F.when(x.rlike("[,-]"), joined(x)).otherwise(F.regexp_replace(x, r"^([A-Za-z]+)0*([0-9]+)$", "$1$2")))

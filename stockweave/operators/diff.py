@@ -4,6 +4,9 @@ A state is a row (bom_item_id, part_id, quantity, attributes, checksum). Tiers r
 same id; same semantic key, first those with equal checksums; same part (items without a part match each other). Within
 a key, items pair one to one by ascending id.
 
+The two states meet in one full outer join by id, written once: it has the first tier's pairs, ready for comparison, and
+what either side has left. Only that goes through the other tiers.
+
 Ranks within a key are counted in two levels, by the first characters of the id and inside them, so no task holds a
 whole key, however many items share it.
 """
@@ -45,20 +48,40 @@ def _rest(a: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
     return a.join(pairs.select(F.col(column).alias("bom_item_id")), "bom_item_id", "left_anti")
 
 
-def match(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(id_a, id_b, tier) of matched items. Keys and what each tier leaves are thin tables, written once."""
-    keyed = [
-        staged(s.select("bom_item_id", "checksum", text.semantic_key(F.col("part_id"), F.col("quantity"), F.col("attributes")).alias("_semantic"), text.part_key(F.col("part_id")).alias("_part_key")), "diff-keys")
-        for s in (a, b)
-    ]
-    pairs = keyed[0].join(keyed[1].select("bom_item_id"), "bom_item_id").select(F.col("bom_item_id").alias("id_a"), F.col("bom_item_id").alias("id_b"), F.lit(1).alias("tier"))
-    left, right = keyed[0].join(keyed[1], "bom_item_id", "left_anti"), keyed[1].join(keyed[0], "bom_item_id", "left_anti")
+_STATE = ("bom_item_id", "part_id", "quantity", "attributes", "checksum")
+
+
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Both states side by side, a_... and b_..., by id."""
+    left, right = (s.select([F.col(c).alias(f"{side}_{c}") for c in _STATE]) for side, s in (("a", a), ("b", b)))
+    return staged(left.join(right, F.col("a_bom_item_id") == F.col("b_bom_item_id"), "full"), "diff-met")
+
+
+def _left(met: DataFrame, side: str, other: str) -> DataFrame:
+    """Items of a side that the other has not, with their keys."""
+    alone = met.where(f"{other}_bom_item_id IS NULL").select([F.col(f"{side}_{c}").alias(c) for c in _STATE])
+    keys = {"_semantic": text.semantic_key(F.col("part_id"), F.col("quantity"), F.col("attributes")), "_part_key": text.part_key(F.col("part_id"))}
+    return staged(alone.withColumns(keys), "diff-left")
+
+
+def _later_tiers(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id_a, id_b, tier) of the second and third tier."""
+    pairs = None
     for tier, keys in ((2, ["_semantic", "checksum"]), (2, ["_semantic"]), (3, ["_part_key"])):
-        left, right = staged(left, "diff-left"), staged(right, "diff-right")
-        found = staged(_pair(left, right, keys).withColumn("tier", F.lit(tier)), "diff-pairs")
-        pairs = pairs.unionByName(found)
-        left, right = _rest(left, found, "id_a"), _rest(right, found, "id_b")
-    return staged(pairs, "diff-matched")
+        if pairs is not None:
+            a, b = (_rest(s.select("bom_item_id", *keys), pairs, c) for s, c in ((left, "id_a"), (right, "id_b")))
+        else:
+            a, b = left, right
+        found = _pair(a, b, keys).withColumn("tier", F.lit(tier))
+        pairs = staged(found if pairs is None else pairs.unionByName(found), "diff-pairs")
+    return pairs
+
+
+def match(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id_a, id_b, tier) of matched items."""
+    met = _met(a, b)
+    first = met.where("a_bom_item_id IS NOT NULL AND b_bom_item_id IS NOT NULL").select(F.col("a_bom_item_id").alias("id_a"), F.col("b_bom_item_id").alias("id_b"), F.lit(1).alias("tier"))
+    return first.unionByName(_later_tiers(_left(met, "a", "b"), _left(met, "b", "a")))
 
 
 def _change(kind: str | Column, field: Column, before: Column, after: Column) -> Column:
@@ -81,26 +104,36 @@ def field_changes(qty_a: Column, attrs_a: Column, qty_b: Column, attrs_b: Column
 
 
 def diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """bom_item_id, id_a, id_b, tier, status and changes, one row for each pair and each item without one.
+    """bom_item_id, id_a, id_b, tier, status, changes and part_id, one row for each pair and each item without one.
 
     Pairs with equal checksums are UNCHANGED, others MODIFIED under b's id, or NOOP if no field differs.
     """
-    pairs = match(a, b)
-    both = pairs.join(a.select([F.col(c).alias(f"a_{c}") for c in a.columns]), F.col("id_a") == F.col("a_bom_item_id")).join(
-        b.select([F.col(c).alias(f"b_{c}") for c in b.columns]), F.col("id_b") == F.col("b_bom_item_id")
-    )
+    met = _met(a, b)
+    left, right = _left(met, "a", "b"), _left(met, "b", "a")
+    pairs = _later_tiers(left, right)
+    sides = [s.select([F.col(c).alias(f"{side}_{c}") for c in _STATE]) for side, s in (("a", left), ("b", right))]
+    later = pairs.join(sides[0], F.col("id_a") == F.col("a_bom_item_id")).join(sides[1], F.col("id_b") == F.col("b_bom_item_id")).drop("id_a", "id_b")
+    both = met.where("a_bom_item_id IS NOT NULL AND b_bom_item_id IS NOT NULL").withColumn("tier", F.lit(1)).unionByName(later)
+    both = both.withColumns({"id_a": F.col("a_bom_item_id"), "id_b": F.col("b_bom_item_id")})
     none = F.array().cast("array<struct<type:string,field:string,from_value:string,to_value:string>>")
     same = F.col("a_checksum").eqNullSafe(F.col("b_checksum"))
     changes = F.when(same, none).otherwise(field_changes(F.col("a_quantity"), F.col("a_attributes"), F.col("b_quantity"), F.col("b_attributes")))
     matched = both.withColumn("changes", changes).select(
         F.col("id_b").alias("bom_item_id"), "id_a", "id_b", "tier",
         F.when(same, "UNCHANGED").when(F.size("changes") > 0, "MODIFIED").otherwise("NOOP").alias("status"), "changes",
+        F.coalesce("b_part_id", "a_part_id").alias("part_id"),
     )
     null = F.lit(None).cast("string")
-    added = _rest(b, pairs, "id_b").select("bom_item_id", null.alias("id_a"), F.col("bom_item_id").alias("id_b"), F.lit(None).cast("int").alias("tier"), F.lit("ADDED").alias("status"), none.alias("changes"))
-    removed = _rest(a, pairs, "id_a").select("bom_item_id", F.col("bom_item_id").alias("id_a"), null.alias("id_b"), F.lit(None).cast("int").alias("tier"), F.lit("REMOVED").alias("status"), none.alias("changes"))
+    added = _rest(right, pairs, "id_b").select("bom_item_id", null.alias("id_a"), F.col("bom_item_id").alias("id_b"), F.lit(None).cast("int").alias("tier"), F.lit("ADDED").alias("status"), none.alias("changes"), "part_id")
+    removed = _rest(left, pairs, "id_a").select("bom_item_id", F.col("bom_item_id").alias("id_a"), null.alias("id_b"), F.lit(None).cast("int").alias("tier"), F.lit("REMOVED").alias("status"), none.alias("changes"), "part_id")
     return matched.unionByName(added).unionByName(removed)
 
 
+def ordered(diffed: DataFrame) -> DataFrame:
+    """The rows of a diff in the order of reports: added, removed, modified, the rest; each by id."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(s) for s in ("ADDED", "REMOVED", "MODIFIED")]), F.col("status")), F.lit(0)), F.lit(4))
+    return diffed.orderBy(place, "bom_item_id")
+
+
 def counts(diffed: DataFrame) -> DataFrame:
     return diffed.agg(*[F.count_if(F.col("status") == s).alias(f"{s.lower()}_count") for s in ("ADDED", "REMOVED", "MODIFIED", "UNCHANGED")])

@@ -30,6 +30,13 @@ def shared_root(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores; a file with one row group comes as one. Larger inputs have
+    more than that already and aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: computed once, and safe from lost executors."""
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

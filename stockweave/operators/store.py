@@ -29,7 +29,7 @@ SCHEMAS = {
 class SnapshotStore(Protocol):
     """What an ingest and a diff need of a store."""
 
-    def table(self, name: str) -> DataFrame: ...
+    def table(self, name: str, tx: str | None = None) -> DataFrame: ...
     def begin(self, tx: str | None = None) -> str: ...
     def append(self, name: str, rows: DataFrame) -> None: ...
     def commit(self) -> None: ...
@@ -52,8 +52,16 @@ class ParquetStore:
     def committed(self) -> list[str]:
         return self._list(f"{self.root}/_commits")
 
-    def table(self, name: str) -> DataFrame:
-        """Committed rows of a table."""
+    def _exists(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        return fs.exists(p)
+
+    def table(self, name: str, tx: str | None = None) -> DataFrame:
+        """Committed rows of a table, or of one transaction: that opens one folder and lists nothing."""
+        if tx is not None:
+            path = f"{self.root}/{name}/tx={tx}"
+            found = self._exists(f"{self.root}/_commits/{tx}") and self._exists(path)
+            return self.spark.read.schema(SCHEMAS[name]).parquet(path) if found else self.spark.createDataFrame([], SCHEMAS[name])
         have = {x.removeprefix("tx=") for x in self._list(f"{self.root}/{name}")}
         paths = [f"{self.root}/{name}/tx={tx}" for tx in self.committed() if tx in have]
         return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
@@ -79,19 +87,26 @@ class ParquetStore:
             raise RuntimeError("no transaction is open")
         fs, p = self._fs(f"{self.root}/_commits/{self.tx}")
         fs.create(p, False).close()
+        self._clean()
         self.tx = None
 
+    def _clean(self) -> None:
+        """Matches that the transaction kept while it ran."""
+        fs, p = self._fs(f"{self.root}/_work/{self.tx}")
+        fs.delete(p, True)
+
     def rollback(self) -> None:
         if self.tx:
             for name in SCHEMAS:
                 fs, p = self._fs(f"{self.root}/{name}/tx={self.tx}")
                 fs.delete(p, True)
+            self._clean()
         self.tx = None
 
 
 def snapshot_items(store: SnapshotStore, snapshot_id: str) -> DataFrame:
     none = F.create_map().cast("map<string,string>")
-    return store.table("snapshot_items").where(F.col("snapshot_id") == snapshot_id).select("bom_item_id", "quantity", F.coalesce("attributes", none).alias("attributes"), "checksum")
+    return store.table("snapshot_items", tx=snapshot_id).where(F.col("snapshot_id") == snapshot_id).select("bom_item_id", "quantity", F.coalesce("attributes", none).alias("attributes"), "checksum")
 
 
 def item_details(bom_items: DataFrame, assemblies: DataFrame, parts: DataFrame, ids: DataFrame) -> DataFrame:

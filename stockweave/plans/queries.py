@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockweave import catalog
@@ -87,17 +87,18 @@ def row_fold_cells(spark, sf):
     return normalize.normalize_cells(wide.select("item_id", cell.alias("_c")).select("item_id", "_c.*"), ["item_id"])
 
 
-@query(f"""WITH {t.LINES} SELECT item_id, l_linenumber AS row_index, name AS part_name, qty::INTEGER AS quantity,
-  '{{"description":"' || name || '","manufacturer":"' || maker || '","package":"' || pkg || '","value":"' || val || '"}}' AS attributes, 'C7, R' || (l_linenumber * 3) || ', R' || (l_linenumber * 3 + 1) || ', R' || (l_linenumber * 3 + 2) AS refdes FROM bom""")
+@query(f"""WITH {t.LINES} SELECT l_linenumber AS row_index, name AS part_name, qty::INTEGER AS quantity,
+  '{{"description":"' || name || '","manufacturer":"' || maker || '","package":"' || pkg || '"' || CASE WHEN l_linenumber % 2 = 1 THEN ',"tolerance":"' || l_linenumber || '%"' ELSE '' END || ',"value":"' || val || '"}}' AS attributes,
+  '{{"notes":"' || CASE WHEN l_linenumber % 2 = 1 THEN 'tolerance ' || l_linenumber || '%' ELSE 'x' END || '","reference_designator":"C7, R' || (l_linenumber * 3) || ', R' || (l_linenumber * 3 + 1) || ', R' || (l_linenumber * 3 + 2) || '"}}' AS context FROM bom""")
 def normalized_row(spark, sf):
-    rows = row_fold(spark, sf).join(t.lines(spark, sf).select("item_id", "l_linenumber"), "item_id")
-    kept = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attributes"))))
-    parsed = normalize.parsed(rows.withColumn("row_index", F.col("l_linenumber")))
-    named = rows.select("item_id", F.col("l_linenumber").alias("row_index"), *[F.col(h) for h in catalog.HEADERS])
-    out = named.select("item_id", "row_index", normalize.part_name().alias("part_name"), text.quantity(F.col("quantity")).alias("quantity"),
-                       F.create_map(*[x for k in ("description", "manufacturer", "package", "value") for x in (F.lit(k), F.col(k))]).alias("attributes"), F.col("reference_designator").alias("refdes"))
-    assert parsed.columns == ["part_name", "quantity", "attributes", "context", "row_index"]
-    return out.withColumn("attributes", kept)
+    n = F.col("l_linenumber")
+    notes = F.when(n % 2 == 1, F.concat(F.lit("tolerance "), n, F.lit("%"))).otherwise("x")
+    wide = t.lines(spark, sf).select(
+        n.alias("row_index"), F.col("refdes").alias("Ref"), F.col("qty").cast("long").cast("string").alias("Qnty"), F.col("val").alias("Value"), F.col("name").alias("Cmp name"),
+        F.col("pkg").alias("Footprint"), F.concat(F.lit(" "), "maker").alias("Vendor"), F.lit("C7").alias("Designator"), notes.alias("Notes"),
+    )
+    kept = lambda c: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c)))).alias(c)
+    return normalize.parsed(normalize.normalize(wide, keep=["row_index"])).select("row_index", "part_name", "quantity", kept("attributes"), kept("context"))
 
 
 _TEXTS = ["3", "2.7", "abc", "", " 1e2 ", "-4.9", "nan", "1f", "inf", "1_000", "+5", ".5"]
@@ -176,10 +177,10 @@ def _store(spark, sf):
 
 
 @query(f"""WITH {t.LINES} SELECT item_id AS bom_item_id, 'P' || l_partkey AS part_id, CASE WHEN l_partkey % 5 <> 0 THEN name ELSE 'Unknown' END AS part_name, pkg AS package, CASE WHEN l_orderkey % 7 <> 0 THEN 'asm ' || l_orderkey ELSE 'Unknown' END AS assembly_name
-  FROM bom JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 3 = 0""")
+  FROM bom JOIN orders ON o_orderkey = l_orderkey""")
 def item_details_join(spark, sf):
     items, assemblies, parts, _ = _store(spark, sf)
-    ids = t.lines(spark, sf).where("l_partkey % 3 = 0").select(F.col("item_id").alias("bom_item_id"))
+    ids = t.lines(spark, sf).select(F.col("item_id").alias("bom_item_id"))  # a snapshot asks for all of its items
     return store.item_details(items, assemblies, parts, ids).select("bom_item_id", "part_id", "part_name", F.col("part_attributes")["package"].alias("package"), "assembly_name")
 
 
@@ -221,7 +222,7 @@ def _flat(c):
 
 @query(f"WITH {t.MATCHED} SELECT bom_item_id, id_a, id_b, tier, status FROM diffed")
 def diff_status(spark, sf):
-    return _diff(spark, sf).drop("changes")
+    return _diff(spark, sf).drop("changes", "part_id")
 
 
 def _tier(n: int):
@@ -233,7 +234,8 @@ def _tier(n: int):
 
 for _n, _name in ((1, "diff_identity"), (2, "diff_semantic_tier"), (3, "diff_part_tier")):
     QUERIES[_name] = _tier(_n)
-    ORACLES[_name] = f"WITH {t.MATCHED} SELECT id_a, id_b FROM t{_n}"
+    ORACLES[_name] = f"WITH {t.MATCHED} SELECT id_a, id_b FROM t{_n}" if _n > 1 else f"""WITH {t.LINES}, k AS (SELECT item_id AS a, l_partkey, CASE WHEN l_partkey % 23 IN (7, 8) THEN md5(item_id || 'x') ELSE item_id END AS b FROM bom)
+SELECT x.a AS id_a, y.b AS id_b FROM k x JOIN k y ON x.a = y.b WHERE x.l_partkey % 11 <> 0 AND y.l_partkey % 13 <> 0"""
 
 
 @query(f"WITH {t.MATCHED} SELECT bom_item_id, status FROM diffed WHERE status IN ('ADDED', 'REMOVED')")
@@ -279,10 +281,10 @@ def event_summary(spark, sf):
 
 
 @query(f"""WITH {t.EVENTS} SELECT bom_item_id, '{{"bom_item_id":"' || bom_item_id || '","part_id":null,"event_type":"' || event_type || '","severity":"' || severity || '","affected_domains":[' || CASE WHEN domains = '' THEN '' ELSE '"' || replace(domains, ',', '","') || '"' END
-  || '],"evidence":[],"summary":"' || summary || '"}}' AS event FROM events_ WHERE severity = 'HIGH' AND n_evidence = 0""")
+  || '],"evidence":[' || COALESCE(array_to_string(list_transform(ch, lambda x: '{{"type":"' || split_part(x, ':', 1) || '","field":' || CASE WHEN split_part(x, ':', 2) = '' THEN 'null' ELSE '"' || split_part(x, ':', 2) || '"' END
+    || ',"from_value":"' || split_part(substr(x, length(split_part(x, ':', 1)) + length(split_part(x, ':', 2)) + 3), '>', 1) || '","to_value":"' || split_part(x, '>', 2) || '"}}'), ','), '') || '],"summary":"' || summary || '"}}' AS event FROM events_""")
 def event_json(spark, sf):
-    found = events.classify(_diff(spark, sf)).where((F.col("severity") == "HIGH") & (F.size("evidence") == 0))
-    return events.to_json(found)
+    return events.to_json(events.classify(_diff(spark, sf)))
 
 
 _RE2 = {u: p.replace("(?![a-zA-Z])", "($|[^a-zA-Z])") for u, p in catalog.UNIT_PATTERNS}
@@ -420,12 +422,13 @@ def context_similarity_top1(spark, sf):
     return resolve.best(resolve.similar_usages(incoming, known), "bom_item_id")
 
 
-@query("SELECT 'A' || l_orderkey AS assembly_id, 'P' || l_partkey AS part_id, 1 AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)")
+@query(f"""WITH {t.LINES}, x AS (SELECT item_id AS row_id, assembly AS assembly_id, 'P' || l_partkey AS part_id, l_linenumber AS n FROM bom)
+SELECT row_id, assembly_id, part_id, first_value(row_id) OVER (PARTITION BY assembly_id, part_id ORDER BY n, row_id) AS bom_item_id, row_number() OVER (PARTITION BY assembly_id, part_id ORDER BY n, row_id) = 1 AS created FROM x""")
 def usage_resolution_empty_context(spark, sf):
     _, incoming = _usage_rows(spark, sf)
-    bare = incoming.withColumn("context", F.create_map().cast("map<string,string>"))
+    bare = incoming.withColumns({"context": F.create_map().cast("map<string,string>"), "row_index": F.struct("row_index", "row_id")})
     none = spark.createDataFrame([], "assembly_id string, part_id string, bom_item_id string, context map<string,string>, ord long")
-    return resolve.resolve_usages(bare, none).groupBy("assembly_id", "part_id").agg(F.countDistinct("bom_item_id").cast("int").alias("n"))
+    return resolve.resolve_usages(bare.withColumn("row_index", F.row_number().over(Window.partitionBy("assembly_id", "part_id").orderBy("row_index"))), none)
 
 
 def _folder(spark, name: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockweave.functions import text
+from stockweave.operators.staging import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One BOM line per lineitem: six columns make its id."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     key = [F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
@@ -80,10 +81,10 @@ states AS (SELECT *, sha256('{{"attributes": ' || {CLEAN_JSON} || ', "quantity":
 a AS (SELECT * FROM states WHERE side = 'a'), b AS (SELECT * FROM states WHERE side = 'b')"""
 MATCHED = f"""{STATES},
 t1 AS (SELECT item_id AS id_a, item_id AS id_b FROM a JOIN b USING (item_id)),
-a1 AS (SELECT * FROM a WHERE item_id NOT IN (SELECT id_a FROM t1)), b1 AS (SELECT * FROM b WHERE item_id NOT IN (SELECT id_b FROM t1)),
+a1 AS (SELECT * FROM a ANTI JOIN t1 ON item_id = id_a), b1 AS (SELECT * FROM b ANTI JOIN t1 ON item_id = id_b),
 t2 AS (SELECT x.item_id AS id_a, y.item_id AS id_b FROM (SELECT *, row_number() OVER (PARTITION BY skey, checksum ORDER BY item_id) AS r FROM a1) x
   JOIN (SELECT *, row_number() OVER (PARTITION BY skey, checksum ORDER BY item_id) AS r FROM b1) y USING (skey, checksum, r)),
-a2 AS (SELECT * FROM a1 WHERE item_id NOT IN (SELECT id_a FROM t2)), b2 AS (SELECT * FROM b1 WHERE item_id NOT IN (SELECT id_b FROM t2)),
+a2 AS (SELECT * FROM a1 ANTI JOIN t2 ON item_id = id_a), b2 AS (SELECT * FROM b1 ANTI JOIN t2 ON item_id = id_b),
 t3 AS (SELECT x.item_id AS id_a, y.item_id AS id_b FROM (SELECT *, row_number() OVER (PARTITION BY pkey ORDER BY item_id) AS r FROM a2) x
   JOIN (SELECT *, row_number() OVER (PARTITION BY pkey ORDER BY item_id) AS r FROM b2) y USING (pkey, r)),
 pairs AS (SELECT *, 1 AS tier FROM t1 UNION ALL SELECT *, 2 FROM t2 UNION ALL SELECT *, 3 FROM t3),
@@ -94,8 +95,8 @@ chg AS (SELECT id_a, id_b, tier, a.checksum = b.checksum AS same, a.qty AS qa, b
     CASE WHEN a.val <> b.val THEN 'ATTRIBUTE_CHANGED:value:' || a.val || '>' || b.val END], lambda x: x IS NOT NULL) AS ch
   FROM pairs JOIN a ON a.item_id = id_a JOIN b ON b.item_id = id_b),
 diffed AS (SELECT id_b AS bom_item_id, id_a, id_b, tier, CASE WHEN same THEN 'UNCHANGED' WHEN len(ch) > 0 THEN 'MODIFIED' ELSE 'NOOP' END AS status, CASE WHEN same THEN [] ELSE ch END AS ch, qa, qb FROM chg
-  UNION ALL SELECT item_id, NULL, item_id, NULL, 'ADDED', [], NULL, NULL FROM b WHERE item_id NOT IN (SELECT id_b FROM pairs)
-  UNION ALL SELECT item_id, item_id, NULL, NULL, 'REMOVED', [], NULL, NULL FROM a WHERE item_id NOT IN (SELECT id_a FROM pairs))"""
+  UNION ALL SELECT item_id, NULL, item_id, NULL, 'ADDED', [], NULL, NULL FROM b ANTI JOIN pairs ON item_id = id_b
+  UNION ALL SELECT item_id, item_id, NULL, NULL, 'REMOVED', [], NULL, NULL FROM a ANTI JOIN pairs ON item_id = id_a)"""
 _HAS = "len(list_filter(ch, lambda x: starts_with(x, '{0}'))) > 0"
 EVENTS = f"""{MATCHED},
 flags AS (SELECT *, status = 'ADDED' AS added, status = 'REMOVED' AS removed, {_HAS.format('QUANTITY_CHANGED')} AS quantity_changed, {_HAS.format('ATTRIBUTE_CHANGED:manufacturer:')} AS manufacturer_changed,

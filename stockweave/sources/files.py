@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import json
+import os
 import re
+import textwrap
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
@@ -165,11 +168,11 @@ def export_format(path: str, fmt: str | None = None) -> tuple[str, str]:
     return (path, known) if known else (f"{stem if dot and '/' not in suffix else path}.csv", "csv")
 
 
-def _xlsx(columns: list[str], rows: Iterator[list[str]]) -> bytes:
+def _xlsx(path: str, columns: list[str], rows: Iterator[list[str]]) -> None:
+    """Rows go into the sheet's entry of the archive as they come."""
     from xml.sax.saxutils import escape
 
     line = lambda i, r: f'<row r="{i}">' + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for v in r) + "</row>"
-    body = "".join(line(i, r) for i, r in enumerate([columns, *rows], 1))
     head = '<?xml version="1.0" encoding="UTF-8"?>'
     main, rel = _NS.strip("{}"), _REL.strip("{}")
     pack = "http://schemas.openxmlformats.org/package/2006"
@@ -179,13 +182,15 @@ def _xlsx(columns: list[str], rows: Iterator[list[str]]) -> bytes:
         "_rels/.rels": f'<Relationships xmlns="{pack}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
         "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="BOM" sheetId="1" r:id="r1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{pack}/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>',
     }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for name, xml in parts.items():
             z.writestr(name, head + xml)
-    return out.getvalue()
+        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as sheet:
+            sheet.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode())
+            for i, r in enumerate(itertools.chain([columns], rows), 1):
+                sheet.write(line(i, r).encode())
+            sheet.write(b"</sheetData></worksheet>")
 
 
 def export(rows: DataFrame, path: str, fmt: str | None = None, order: str = "row_index") -> str:
@@ -209,11 +214,12 @@ def export(rows: DataFrame, path: str, fmt: str | None = None, order: str = "row
             csv.writer(f).writerows([columns])
             csv.writer(f).writerows(lines)
     elif fmt == "excel":
-        with open(path, "wb") as f:
-            f.write(_xlsx(columns, lines))
+        _xlsx(path, columns, lines)
     else:
         with open(path, "w", encoding="utf-8") as f:
-            json.dump([dict(zip(columns, x, strict=True)) for x in lines], f, indent=2, ensure_ascii=False)
+            for i, x in enumerate(lines):
+                f.write(("[\n" if i == 0 else ",\n") + textwrap.indent(json.dumps(dict(zip(columns, x, strict=True)), indent=2, ensure_ascii=False), "  "))
+            f.write("\n]")
     return path
 
 
@@ -227,8 +233,27 @@ def write_many(rows: DataFrame, folder: str, fmt: str = "csv") -> None:
     writer.option("header", True).csv(folder) if fmt == "csv" else writer.json(folder)
 
 
+def jdbc_url(host: str | None = None, database: str | None = None, port: int = 5432, user: str | None = None, password: str | None = None, kind: str = "postgresql") -> tuple[str, dict[str, str]]:
+    """(URL, options) of a database from its parts; what isn't given is read from DB_HOST, DB_NAME, DB_PORT, DB_USER and
+    DB_PASSWORD. A database needs a host, a name, a user and a password."""
+    env = os.environ
+    host, database, user, password = host or env.get("DB_HOST"), database or env.get("DB_NAME"), user or env.get("DB_USER"), password or env.get("DB_PASSWORD")
+    lacking = [n for n, x in (("host", host), ("database", database), ("user", user), ("password", password)) if not x]
+    if lacking:
+        raise ValueError(f"the database's {', '.join(lacking)} must be given")
+    return f"jdbc:{kind}://{host}:{env.get('DB_PORT') or port}/{database}", {"user": user, "password": password}
+
+
 def jdbc_table(spark: SparkSession, url: str | None, table: str, **options: str) -> DataFrame:
     """A table of an existing database, by Spark's JDBC source; the driver class must be on the class path."""
     if not url:
         raise ValueError("a JDBC URL is needed")
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
+def write_jdbc(rows: DataFrame, url: str | None, table: str, batch: int = 10_000, **options: str) -> None:
+    """Append rows to a table of a database, a transaction a partition; maps go as JSON text."""
+    if not url:
+        raise ValueError("a JDBC URL is needed")
+    maps = {f.name: F.to_json(f.name) for f in rows.schema.fields if isinstance(f.dataType, T.MapType)}
+    rows.withColumns(maps).write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), **options).mode("append").save()

@@ -1,11 +1,16 @@
 import csv
+import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from stockweave.functions import text
-from stockweave.operators import diff, events, normalize, profile, store
+from stockweave.functions import refdes, similarity, units
+from stockweave.operators import diff, events, normalize, profile, resolve, store
 from stockweave.sources import files
+from stockweave.streaming.ingest import ingest_stream
 
 BOM = """Ref;Qnty;Value;Cmp name;Footprint;Description;Vendor
 "C1, C2, C4,";3;10n;C_Small;Cap_P5.00mm;Unpolarized capacitor;
@@ -133,3 +138,148 @@ def test_profile(spark):
     assert got["RefDes"].ref_des_like == 1.0 and got["Mixed"].mixed == 1.0 and got["Empty"].error and got["Empty"].null_count == 2
     p = profile.profile(cells)
     assert {(r.column_a, r.column_b): r.similarity for r in profile.compare(p, p).collect()}[("Mixed", "Mixed")] == pytest.approx(1.0)
+
+
+def entities(rnd, n):
+    words = "resistor capacitor diode thick film ceramic 10k 100n 0603 0805 smd leaded".split()
+    name = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4)))
+    rows = []
+    for i in range(n):
+        base = rnd.choice(rows)[1] if rows and rnd.random() < 0.5 else name()
+        attrs = {k: rnd.choice(["0603", "0805", "10k", "10K", "11k"]) for k in ("package", "value") if rnd.random() < 0.7}
+        rows.append((f"o{rnd.randint(0, 1)}", base if rnd.random() < 0.6 else base.replace("e", "E", 1) + rnd.choice(["", "s", " x"]), attrs))
+    return rows
+
+
+ENTITY = "org_id string, name string, attributes map<string,string>"
+
+
+def test_parts_are_resolved_as_one_by_one(spark):
+    rnd = random.Random(1)
+    every = entities(rnd, 110)
+    old = [(f"p{i}", i, *e) for i, e in enumerate(every[:40])]
+    new = [(f"r{i}", i, f"n{i}", *e) for i, e in enumerate([*every[40:], ("o0", None, {}), ("o1", "", {}), ("o2", "alone", {})])]
+    parts = spark.createDataFrame(old, f"part_id string, ord long, {ENTITY}")
+    rows = spark.createDataFrame(new, f"row_id string, row_index long, new_id string, {ENTITY}")
+    want = {(r[0], p[0]): similarity.part_score(r[4], r[5], p[3], p[4]) for r in new for p in old if r[3] == p[2]}
+    want = {k: s for k, s in want.items() if s >= 0.8}
+    assert {(r.row_id, r.part_id): r.score for r in resolve.similar_parts(rows, parts).collect()} == want and len(want) > 20
+    top = {r.row_id: r.part_id for r in resolve.best(resolve.similar_parts(rows, parts), "part_id").collect()}
+    assert top == {x: max((s, -int(p[1:]), p) for (y, p), s in want.items() if y == x)[2] for x, _ in want}
+    known, one = [(p[0], p[2], p[3], p[4]) for p in old], {}
+    for row, _, new_id, org, name, attrs in new:
+        best, got = -1.0, None
+        for pid, theirs, n, a in known:
+            if theirs == org and (s := similarity.part_score(name, attrs, n, a)) > best:
+                best, got = s, pid
+        if best < 0.8:
+            known.append((got := new_id, org, name, attrs))
+        one[row] = (got, best < 0.8)
+    assert {r.row_id: (r.part_id, r.created) for r in resolve.resolve_parts(rows, parts).collect()} == one
+
+
+def test_usages_are_resolved_as_one_by_one(spark):
+    rnd = random.Random(2)
+    context = lambda: {k: rnd.choice(["top", "Top", "bottom", "2 Nm"]) for k in ("notes", "placement") if rnd.random() < 0.8}
+    fixed = {"notes": "same"}
+    at = lambda: (f"a{rnd.randint(0, 2)}", f"p{rnd.randint(0, 4)}")
+    old = [(f"u{i}", i, *k, fixed if k[1] == "p0" else context()) for i in range(20) for k in [at()] if k != ("a0", "p0")]
+    new = [(f"r{i}", i, f"n{i}", *k, fixed if k[1] == "p0" else context()) for i in range(60) for k in [at()]]
+    usages = spark.createDataFrame(old, "bom_item_id string, ord long, assembly_id string, part_id string, context map<string,string>")
+    rows = spark.createDataFrame(new, "row_id string, row_index long, new_id string, assembly_id string, part_id string, context map<string,string>")
+    want = {(r[0], u[0]): s for r in new for u in old if r[3:5] == u[2:4] and (s := similarity.map_ratio(r[5], u[4])) >= 0.7}
+    assert {(r.row_id, r.bom_item_id): r.score for r in resolve.similar_usages(rows, usages).collect()} == pytest.approx(want)
+    known, one = [(u[0], u[2:4], u[4]) for u in old], {}
+    for row, _, new_id, a, p, c in new:
+        best, got = -1.0, None
+        for uid, key, theirs in known:
+            if key == (a, p) and (s := similarity.map_ratio(c, theirs)) > best:
+                best, got = s, uid
+        if best < 0.7:
+            known.append((got := new_id, (a, p), c))
+        one[row] = (got, best < 0.7)
+    assert {r.row_id: (r.bom_item_id, r.created) for r in resolve.resolve_usages(rows, usages).collect()} == one
+
+
+def test_letters_bound_the_ratio():
+    rnd = random.Random(3)
+    names = ["".join(rnd.choice("abcABC é10kΩ日") for _ in range(rnd.randint(0, 20))) for _ in range(200)]
+    for a, b in zip(names, reversed(names), strict=True):
+        bound = similarity.ratio_bound(similarity.letters([a]), similarity.letters([b]))[0]
+        assert bound >= similarity.string_ratio(a, b) - 1e-12 or not a or not b
+
+
+def test_reports_of_a_diff(spark, tmp_path):
+    db = store.ParquetStore(spark, str(tmp_path / "db"))
+    edited = BOM.replace("D1-D8;8", "D1-D6;8").replace("J4;1", "J4;4").replace("U2;1;;W65C22NxP;DIP-40;Adapter;\n", "X1;1;;Crystal;HC49;8 MHz;\n")
+    snapshots = [store.ingest(db, files.parse(spark, write(tmp_path, f"{i}.csv", body)), "org-1", assembly_name="board") for i, body in enumerate((BOM, edited))]
+    diffed = store.diff_snapshots(db, *snapshots)
+    told = {r.part_name: r for r in store.explain_diff(db, diffed).collect() if r.status != "UNCHANGED"}
+    assert told["Crystal"].status == "ADDED" and told["W65C22NxP"].status == "REMOVED" and {r.assembly_name for r in told.values()} == {"board"}
+    found = events.classify(diffed)
+    rows = events.in_order(found).collect()
+    assert [r.event_type for r in rows][:2] == ["PART_ADDED", "PART_REMOVED"] and all(r.part_id for r in rows)
+    moved = next(r for r in rows if r.event_type == "QUANTITY_CHANGED")
+    assert (moved.delta.quantity_from, moved.delta.quantity_to, moved.delta.added) == ("1.0", "4.0", False)
+    one = events.result(found, *snapshots).first()
+    assert (one.snapshot_a_id, one.total_changes, one.events_by_severity["HIGH"]) == (snapshots[0], len(rows), 2)
+    assert sum(one.events_by_type.values()) == len(rows)
+    assert [r.status for r in diff.ordered(diffed).collect()][:2] == ["ADDED", "REMOVED"]
+    texts = [json.loads(r.event) for r in events.to_json(found).collect()]
+    assert all(set(x) == {"bom_item_id", "part_id", "event_type", "severity", "affected_domains", "evidence", "summary"} for x in texts)
+    # a snapshot opens its own folder, and what a transaction leaves is gone
+    assert len(store.snapshot_items(db, snapshots[0]).inputFiles()) > 0 and all(f"tx={snapshots[0]}" in f for f in store.snapshot_items(db, snapshots[0]).inputFiles())
+    assert not list((tmp_path / "db" / "_work").glob("*")) if (tmp_path / "db" / "_work").exists() else True
+
+
+def test_a_failed_ingest_leaves_nothing(spark, tmp_path, monkeypatch):
+    db = store.ParquetStore(spark, str(tmp_path / "db"))
+    rows = files.parse(spark, write(tmp_path, "a.csv", BOM))
+    monkeypatch.setattr(store.resolve, "last_wins", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.ingest(db, rows, "org-1", assembly_name="board")
+    assert db.tx is None and not db.committed() and all(db.table(t).count() == 0 for t in store.SCHEMAS)
+    with pytest.raises(RuntimeError):
+        db.commit()
+    with pytest.raises(RuntimeError):
+        db.append("parts", rows)
+
+
+def test_streams_become_snapshots(spark, tmp_path):
+    folder, db = tmp_path / "in", store.ParquetStore(spark, str(tmp_path / "db"))
+    rows = files.parse(spark, write(tmp_path, "a.csv", BOM)).withColumn("assembly", F.when(F.col("row_index") % 2 == 0, "x").otherwise("y"))
+    rows.write.parquet(str(folder))
+    stream = lambda: ingest_stream(spark.readStream.schema(rows.schema).parquet(str(folder)), db, "org", str(tmp_path / "cp")).awaitTermination()
+    stream()
+    assert db.table("snapshots").count() == 2 and {r.name for r in db.table("assemblies").collect()} == {"x", "y"}
+    stream()  # nothing new
+    assert db.table("snapshots").count() == 2
+
+
+def test_units_of_tables_and_other_adapters(spark, tmp_path, monkeypatch):
+    got = units.normalize_columns(spark.createDataFrame([("10nF", "5", None, "n/a")], "a string, b string, c string, d string"), ["a", "b", "c", "d"]).first()
+    assert float(got.a) == pytest.approx(1e-8) and (got.b, got.c, got.d) == ("5", "", "n/a")
+    path = files.parse_and_export(spark, write(tmp_path, "a.csv", BOM), str(tmp_path / "b.json"))
+    with open(path, encoding="utf-8") as f:
+        back = json.load(f)
+    assert len(back) == 6 and list(back[0]) == list(files.catalog.HEADERS)
+    monkeypatch.setattr(files, "ADAPTERS", list(files.ADAPTERS))
+    files.register((".bom",), lambda data, name: (["Qty"], [{"Qty": x} for x in data.decode().split()]))
+    assert [r.quantity for r in files.parse(spark, write(tmp_path, "c.bom", "4 5")).orderBy("row_index").collect()] == ["4", "5"]
+    for key in ("DB_HOST", "DB_NAME", "DB_PORT", "DB_USER", "DB_PASSWORD"):
+        monkeypatch.delenv(key, raising=False)
+    assert files.jdbc_url("h", "d", 1234, "u", "p") == ("jdbc:postgresql://h:1234/d", {"user": "u", "password": "p"})
+    with pytest.raises(ValueError):
+        files.jdbc_url("h")
+    with pytest.raises(ValueError):
+        files.jdbc_table(spark, None, "t")
+    with pytest.raises(ValueError):
+        files.write_jdbc(spark.range(1), "", "t")
+
+
+def test_long_designators(spark):
+    cells = ["R1-R200000", "R007", "R0", "C" + "9" * 30, "R1-R3, C0004", " x ", "", "R00010-R00008"]
+    began = time.time()
+    got = [r.x for r in spark.createDataFrame(list(enumerate(cells)), "i int, c string").select("i", refdes.expand(F.col("c")).alias("x")).orderBy("i").collect()]
+    assert got[0].split(", ") == [f"R{i}" for i in range(1, 200_001)] and time.time() - began < 30
+    assert got[1:] == ["R7", "R0", "C" + "9" * 30, "C4, R1, R2, R3", "x", "", "R00010-R00008"]
