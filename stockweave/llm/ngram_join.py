@@ -15,8 +15,8 @@ take part in the join once. The join has these steps:
    documents that are left are counted exactly.
    a. A group is one tree. A large group is cut into chunks, a tree each, and every chunk gets the group's hubs too: the
       sets that meet most others. In a group of near copies the hubs' links make one component of nearly all of it.
-   b. What then lies in blocks that still hold several components is joined across chunks, of which those of one
-      component aren't paired; the traversal prunes node pairs that are one component already.
+   b. Large groups that still hold several components are joined across chunks, of which those of one component aren't
+      paired; the traversal prunes node pairs that are one component already.
    A pair that is never counted is therefore in one component; links between components are all found.
 4. Groups: connected components of the links.
 
@@ -45,7 +45,7 @@ PART, PER = 85, 100
 #: Sizes of one class lie within this factor.
 CLASS_FACTOR = 1.5
 #: Chunks of a candidate group have about so many documents and so many shingles at most; hubs of a large group.
-CHUNK_DOCS, CHUNK_SHINGLES, HUBS = 256, 1_000_000, 4
+CHUNK_DOCS, CHUNK_SHINGLES, HUBS = 512, 1_500_000, 4
 #: Signatures that a task looks through for equal ones before it passes them on, and sets whose copies it then leaves out.
 CHUNK_SIGS, KNOWN_SETS = 500_000, 200_000
 BITS, LEAF, FAN = 256, 16, 8
@@ -459,12 +459,11 @@ def _links(blocks: DataFrame, classes: DataFrame, thin: DataFrame, shingle: int,
     large = staged(large.select("grp", "small"), "ngram-large")
     if large.isEmpty():
         return linked
-    # 3b. what is in blocks with several components yet
+    # 3b. groups that hold several components yet
     comps = components(linked).toDF("small", "comp")
     large = staged(large.join(comps, "small", "left").withColumn("comp", F.coalesce("comp", "small")), "ngram-large")
-    own = staged(blocks.join(large.select("small", "comp"), "small"), "ngram-own")
-    mixed = staged(own.groupBy("sig").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low != _high").select("sig"), "ngram-mixed")
-    rest = staged(large.join(own.join(mixed, "sig").select("small").distinct(), "small", "left_semi"), "ngram-rest")
+    apart = large.groupBy("grp").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low != _high").select("grp")
+    rest = staged(large.join(staged(apart, "ngram-apart"), "grp"), "ngram-rest")
     # a component with half a chunk or more has chunks of its own
     n_comp = rest.groupBy("grp", "comp").agg(F.count("*").alias("n")).withColumn("own", F.col("n") * 2 >= CHUNK_DOCS)
     n_rest = n_comp.where("NOT own").groupBy("grp").agg(F.sum("n").alias("n_rest"))
