@@ -179,6 +179,27 @@ def test_parts_are_resolved_as_one_by_one(spark):
     assert {r.row_id: (r.part_id, r.created) for r in resolve.resolve_parts(rows, parts).collect()} == one
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_equal_rows_meet_parts_made_between_them(spark, threshold):
+    rnd = random.Random(5)
+    pool = [(o, n, a) for o, n, a in entities(rnd, 40)] + [("o0", "x", {"value": None}), ("o0", None, {}), ("o1", "", {"value": "10k"})]
+    chain = [("o2", "abcdefgxyz", {}), ("o2", "abcdeqwxyz", {}), ("o2", "abcdefgxyz", {})]
+    new = [(f"r{i}", i, f"n{i}", *e) for i, e in enumerate(chain + [rnd.choice(pool) for _ in range(260)])]
+    old = [(f"p{i}", i, *e) for i, e in enumerate([("o2", "abcdefghij", {}), *rnd.sample(pool, 6)])]
+    rows = spark.createDataFrame(new, f"row_id string, row_index long, new_id string, {ENTITY}")
+    got = {r.row_id: (r.part_id, r.created) for r in resolve.resolve_parts(rows, spark.createDataFrame(old, f"part_id string, ord long, {ENTITY}"), threshold).collect()}
+    known, want, taken = [(p[0], *p[2:]) for p in old], {}, {}
+    for row, _, new_id, org, name, attrs in new:
+        scored = [(similarity.part_score(name, attrs, n, a), -i, p) for i, (p, o, n, a) in enumerate(known) if o == org]
+        best, _, part = max(scored, default=(-1.0, 0, None))
+        if best < threshold:
+            known.append((part := new_id, org, name, attrs))
+        want[row] = (part, best < threshold)
+        taken.setdefault((org, name, str(attrs)), set()).add(part)
+    assert got == want
+    assert threshold < 0.8 or taken["o2", "abcdefgxyz", "{}"] == {"p0", "n1"}  # its second row has a better part
+
+
 def test_usages_are_resolved_as_one_by_one(spark):
     rnd = random.Random(2)
     context = lambda: {k: rnd.choice(["top", "Top", "bottom", "2 Nm"]) for k in ("notes", "placement") if rnd.random() < 0.8}
