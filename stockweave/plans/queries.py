@@ -189,7 +189,7 @@ def snapshot_info_join(spark, sf):
     _, assemblies, _, orders = _store(spark, sf)
     snapshots = orders.select(F.concat(F.lit("S"), "o_orderkey").alias("id"), F.concat(F.lit("A"), "o_orderkey").alias("assembly_id"), F.col("o_orderpriority").alias("source"), F.col("o_orderdate").alias("created_at"))
     last = orders.agg(F.max("o_orderkey")).first()[0]
-    return store.snapshot_info(snapshots, assemblies, f"S{last}").drop("created_at")
+    return store.snapshot_info(snapshots, assemblies, f"S{last}").select("id", "assembly_id", "assembly_name", "source")
 
 
 @query("SELECT 'cust-' || c_custkey AS id, 'Organization ' || substr('cust-' || c_custkey, 1, 8) AS name FROM customer WHERE c_custkey % 4 <> 0")

@@ -267,6 +267,37 @@ def test_a_failed_ingest_leaves_nothing(spark, tmp_path, monkeypatch):
         db.append("parts", rows)
 
 
+def test_a_store_by_its_methods(spark, tmp_path):
+    db = store.ParquetStore(spark, str(tmp_path / "db"))
+    with pytest.raises(RuntimeError):
+        db.get_or_create_organization("org-1")
+    tx = db.begin()
+    assert db.get_or_create_organization("org-1") == db.get_or_create_organization("org-1", "again") == "org-1"
+    board = db.get_or_create_assembly("org-1", "board")
+    assert board == db.get_or_create_assembly("org-1", "board") != db.get_or_create_assembly("org-1", "other")
+    assert db.get_assembly("org-1", board) == board
+    with pytest.raises(ValueError):
+        db.get_assembly("org-2", board)
+    kinds = "id string, org_id string, name string, attributes map<string,string>, ord long"
+    db.create_parts(spark.createDataFrame([("p1", "org-1", "Resistor", {"value": "10k"}, 0), ("p2", "org-1", "Diode", {}, 1)], kinds))
+    db.create_parts(spark.createDataFrame([("p3", "org-1", "resistor", {"value": "10k"}, 0)], kinds))
+    rows = spark.createDataFrame([("r", "org-1", "Resistor", {"value": "10k"})], "row_id string, org_id string, name string, attributes map<string,string>")
+    assert [(r.part_id, r.score) for r in db.find_similar_parts(rows).orderBy("ord").collect()] == [("p1", 1.0), ("p3", 1.0)]
+    assert sorted(r.ord for r in db.written("parts").collect()) == [0, 1, 2]
+    db.create_items(spark.createDataFrame([("i1", board, "p1", {}, 0)], "id string, assembly_id string, part_id string, context map<string,string>, ord long"))
+    usage = spark.createDataFrame([("r", board, "p1", {}), ("s", board, "p2", {})], "row_id string, assembly_id string, part_id string, context map<string,string>")
+    assert [(r.row_id, r.bom_item_id) for r in db.find_similar_items(usage).collect()] == [("r", "i1")]
+    assert db.create_snapshot("org-1", board, "test", "before") == tx
+    db.insert_snapshot_items(spark.createDataFrame([("i1", 2.0, {}, 0), ("i1", 3.0, {}, 1)], "bom_item_id string, quantity double, attributes map<string,string>, row_index int"))
+    assert db.table("parts").isEmpty()  # nothing is seen before the commit
+    db.commit()
+    assert [(r.bom_item_id, r.quantity) for r in db.get_snapshot_items(tx).collect()] == [("i1", 3.0)]
+    info = db.get_snapshot_info(tx).first()
+    assert (info.id, info.assembly_name, info.org_id, info.source, info.parent_snapshot_id) == (tx, "board", "org-1", "test", "before")
+    one = db.get_item_details(db.get_snapshot_items(tx).select("bom_item_id")).first()
+    assert (one.assembly_id, one.assembly_name, one.part_name, one.part_attributes, one.context) == (board, "board", "Resistor", {"value": "10k"}, {})
+
+
 def test_streams_become_snapshots(spark, tmp_path):
     folder, db = tmp_path / "in", store.ParquetStore(spark, str(tmp_path / "db"))
     rows = files.parse(spark, write(tmp_path, "a.csv", BOM)).withColumn("assembly", F.when(F.col("row_index") % 2 == 0, "x").otherwise("y"))
