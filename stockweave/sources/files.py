@@ -17,6 +17,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 from stockweave import catalog
 from stockweave.operators import headers, normalize
 
+#: Rows of a file that become cells at once.
+ROWS = 4096
 CELLS = "file string, row_index int, col_pos int, col_name string, value string"
 
 
@@ -130,8 +133,13 @@ def read_cells(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
                 columns, rows = (parsers.get(path.lower().rpartition(".")[2]) or adapter(path))(bytes(content), path)
-                out = [(path, i, k, c, r.get(c)) for i, r in enumerate(rows) for k, c in enumerate(columns)]
-                yield pd.DataFrame(out, columns=["file", "row_index", "col_pos", "col_name", "value"]).astype({"row_index": "int32", "col_pos": "int32"})
+                for at in range(0, len(rows), ROWS):
+                    part = rows[at : at + ROWS]
+                    n, m = len(part), len(columns)
+                    yield pd.DataFrame({
+                        "file": path, "row_index": np.repeat(np.arange(at, at + n, dtype=np.int32), m), "col_pos": np.tile(np.arange(m, dtype=np.int32), n),
+                        "col_name": columns * n, "value": [r.get(c) for r in part for c in columns],
+                    })
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(parse, CELLS)
 
