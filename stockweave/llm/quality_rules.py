@@ -6,8 +6,7 @@ rejected with all its documents.
 
 Nulls: a null text counts as empty and fails the rule on length; null hosts form one host; null doc_ids are kept.
 Repeated rows and ties are separate documents, and each counts for its host. Very long texts are measured whole: repeated
-windows are found by a search in the list of them, or by sorting where that would take over SCAN_LIMIT comparisons. An
-empty table gives an empty one. Input columns of the result's names are replaced.
+windows are found by sorting. An empty table gives an empty one. Input columns of the result's names are replaced.
 """
 
 from __future__ import annotations
@@ -22,8 +21,6 @@ REPEAT_PERCENT = 50
 SYMBOL_PERCENT = 10
 DUP_LINE_PERCENT = 30
 HOST_LIMIT = 0.5
-#: Above so many comparisons, repeated windows are found by sorting instead of a search in the list of them.
-SCAN_LIMIT = 2_000_000
 
 
 def repeat_words(words: Column) -> Column:
@@ -35,9 +32,7 @@ def repeat_words(words: Column) -> Column:
     n = F.size(words)
 
     def covered(starts: Column) -> Column:
-        return F.when(F.size(starts) == 0, F.lit(0)).otherwise(
-            F.aggregate(F.transform(starts, lambda p, i: F.when(i == 0, 3).otherwise(F.least(F.lit(3), p - starts[i - 1]))), F.lit(0), lambda a, x: a + x)
-        )
+        return F.aggregate(F.transform(starts, lambda p, i: F.when(i == 0, 3).otherwise(F.least(F.lit(3), p - starts[i - 1]))), F.lit(0), lambda a, x: a + x)
 
     def sorted_starts(h: Column) -> Column:
         keyed = F.array_sort(F.transform(h, lambda x, i: F.concat(F.lpad(F.hex(x), 16, "0"), F.lpad(i.cast("string"), 10, "0"))))
@@ -48,14 +43,9 @@ def repeat_words(words: Column) -> Column:
 
         return let(keyed, pick)
 
-    def scanned_starts(h: Column, again: Column) -> Column:
-        return F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(again, x), i)), lambda p: p.isNotNull())
-
     def of_hashes(h: Column) -> Column:
-        again = let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x))))
-        return let(again, lambda d: F.when(F.size(d) == 0, F.lit(0)).otherwise(
-            let(F.when(F.size(d).cast("long") * F.size(h) <= SCAN_LIMIT, scanned_starts(h, d)).otherwise(sorted_starts(h)), covered)
-        ))
+        repeated = F.size(F.array_distinct(h)) < F.size(h)
+        return F.when(repeated, let(sorted_starts(h), covered)).otherwise(F.lit(0))
 
     hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
     return F.when(n < 3, F.lit(0)).otherwise(let(hashes, of_hashes))

@@ -275,9 +275,7 @@ def plain_repeats(text):
     return len({p for i, x in enumerate(tri) if many[x] > 1 for p in (i, i + 1, i + 2)})
 
 
-@pytest.mark.parametrize("limit", [quality_rules.SCAN_LIMIT, 0])
-def test_repeat_words(spark, monkeypatch, limit):
-    monkeypatch.setattr(quality_rules, "SCAN_LIMIT", limit)
+def test_repeat_words(spark):
     rnd = random.Random(6)
     texts = [" ".join(rnd.choice("abc") for _ in range(rnd.randint(1, 60))) for _ in range(60)] + [" ".join(str(i) for i in range(50)) * 2]
     got = quality_rules.measures(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
