@@ -3,9 +3,9 @@
 Every document of a source has the same number of expected copies, target / source size. Their prefix sum within the
 source is that number times the rank of the document, so ranks are all that has to be counted. Ranks come in two
 levels: a window inside small cells (source, size class, salt), and a prefix sum over the counts of the cells; no task
-ever holds a whole source. A salt is a hash of the doc_id; there are as many as give each of them max(ROWS_PER_SALT, square
-root of all rows) rows, so both levels grow with the root. One random offset a source, and a document is emitted once per integer boundary that its
-stretch of the prefix sum crosses.
+ever holds a whole source. A salt is a hash of the doc_id, or of the text if that is null; there are as many as give each
+of them max(ROWS_PER_SALT, square root of all rows) rows, so both levels grow with the root. One random offset a source,
+and a document is emitted once per integer boundary that its stretch of the prefix sum crosses.
 
 Nulls: a null text has size 0; null sources form one source, the last one; a null doc_id is kept. Repeated rows are
 separate documents. Ties of size are ordered by doc_id and then by the text's hash, so reruns agree but for rows that are
@@ -71,13 +71,13 @@ def sized(docs: DataFrame) -> DataFrame:
 def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "mix", rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """docs (with text, or with size, _key and _tie instead) plus size, source_size, target, copies and taken."""
     base = docs if "_key" in docs.columns else sized(docs)
-    thin = base if "text" not in docs.columns else staged(base.select("_key", "size", "doc_id"), "mix-sizes")
+    thin = base if "text" not in docs.columns else staged(base.select("_key", "size", "doc_id", "_tie"), "mix-sizes")
     n = thin.count()
     salts = max(1, math.ceil(n / max(rows_per_salt, math.ceil(math.sqrt(n)))))
-    hashed = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
+    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("_tie"))), 1, 8), 16, 10).cast("long")
 
     def celled(df: DataFrame) -> DataFrame:
-        return df.withColumns({"_class": F.length(F.bin("size")), "_salt": F.coalesce(F.pmod(hashed, F.lit(salts)), F.lit(0)).cast("long")})
+        return df.withColumns({"_class": F.length(F.bin("size")), "_salt": F.pmod(hashed, F.lit(salts)).cast("long")})
 
     cells = celled(thin).groupBy("_key", "_class", "_salt").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
     sources = source_targets(cells.groupBy("_key").agg(F.sum("_size").alias("source_size")), weights, share, cap)
@@ -115,7 +115,7 @@ def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH base AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS k,
-         COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::UBIGINT AS h, md5(COALESCE(text, '')) AS tie
+         COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, md5(COALESCE(text, '')))), 1, 8))::UBIGINT AS h, md5(COALESCE(text, '')) AS tie
   FROM documents),
 src AS (SELECT k, SUM(size)::BIGINT AS source_size FROM base GROUP BY k),
 pos AS (SELECT *, CASE (row_number() OVER (ORDER BY k = 'n', k) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
