@@ -34,18 +34,18 @@ def repeat_words(words: Column) -> Column:
     def covered(starts: Column) -> Column:
         return F.aggregate(F.transform(starts, lambda p, i: F.when(i == 0, 3).otherwise(F.least(F.lit(3), p - starts[i - 1]))), F.lit(0), lambda a, x: a + x)
 
-    def sorted_starts(h: Column) -> Column:
-        keyed = F.array_sort(F.transform(h, lambda x, i: F.concat(F.lpad(F.hex(x), 16, "0"), F.lpad(i.cast("string"), 10, "0"))))
+    def repeated_starts(h: Column) -> Column:
+        keyed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("hash"), i.alias("at"))))
 
         def pick(s: Column) -> Column:
-            same = lambda i, j: F.substring(s[i], 1, 16) == F.coalesce(F.substring(F.get(s, j), 1, 16), F.lit(""))
-            return F.array_sort(F.transform(F.filter(F.transform(s, lambda x, i: F.when(same(i, i - 1) | same(i, i + 1), x)), lambda x: x.isNotNull()), lambda x: F.substring(x, 17, 10).cast("int")))
+            again = F.transform(s, lambda x, i: F.when((F.get(s, i - 1)["hash"] == x["hash"]) | (F.get(s, i + 1)["hash"] == x["hash"]), x["at"]))
+            return F.sort_array(F.filter(again, lambda at: at.isNotNull()))
 
         return let(keyed, pick)
 
     def of_hashes(h: Column) -> Column:
         repeated = F.size(F.array_distinct(h)) < F.size(h)
-        return F.when(repeated, let(sorted_starts(h), covered)).otherwise(F.lit(0))
+        return F.when(repeated, let(repeated_starts(h), covered)).otherwise(F.lit(0))
 
     hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
     return F.when(n < 3, F.lit(0)).otherwise(let(hashes, of_hashes))
