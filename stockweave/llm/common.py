@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.operators.staging import shared_root, staged
+from stockweave.operators.staging import discard, shared_root, staged
 
-__all__ = ["GAP", "WORD", "let", "returning_memory", "shared_root", "slices", "staged", "table", "words_of"]
+__all__ = ["GAP", "WORD", "discard", "let", "returning_memory", "shared_root", "slices", "staged", "table", "words_of"]
 
 #: Java pattern of one word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -9,6 +9,7 @@ take part in the join once. The join has these steps:
    signature for each interval, so every linked pair meets in at least k - d blocks, whatever the data are. What shares a
    signature within a chunk of a task goes on as one row, so no block gathers all its sets in one place. A set whose
    intervals meet too few others can't have a partner and leaves.
+   Signatures are dealt out in ROUNDS rounds by their values, which keeps the files of one round on disk at a time.
 2. Candidate groups: connected components of the sets that meet in a block.
 3. Signature trees. Nodes hold OR-combined token bitmaps, kept as the largest count of tokens at each bit, and size
    ranges. A dual traversal from the roots prunes node pairs whose maximum possible overlap is too small; pairs of
@@ -17,6 +18,7 @@ take part in the join once. The join has these steps:
       sets that meet most others. In a group of near copies the hubs' links make one component of nearly all of it.
    b. Large groups that still hold several components are joined across chunks, of which those of one component aren't
       paired; the traversal prunes node pairs that are one component already.
+   c. Pairs of chunks are dealt out in rounds of about ROUND_PART of all shingles.
    A pair that is never counted is therefore in one component; links between components are all found.
 4. Groups: connected components of the links.
 
@@ -28,8 +30,9 @@ empty ones. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockweave.llm.common import returning_memory, slices, staged
+from stockweave.llm.common import discard, returning_memory, slices, staged
 
 SHINGLE = 4
 #: Two sets are linked when PER * intersection >= part * union; op3's part is PART.
@@ -46,6 +49,10 @@ PART, PER = 85, 100
 CLASS_FACTOR = 1.5
 #: Chunks of a candidate group have about so many documents and so many shingles at most; hubs of a large group.
 CHUNK_DOCS, CHUNK_SHINGLES, HUBS = 512, 1_500_000, 4
+#: The hash space of signatures is dealt in so many rounds, so that the shuffle of one lies on disk at a time.
+ROUNDS = 4
+#: Pairs of chunks are dealt in rounds too, of about this part of all classes' shingles.
+ROUND_PART = 0.25
 #: Signatures that a task looks through for equal ones before it passes them on, and sets whose copies it then leaves out.
 CHUNK_SIGS, KNOWN_SETS = 500_000, 200_000
 BITS, LEAF, FAN = 256, 16, 8
@@ -227,24 +234,28 @@ def components(edges: DataFrame) -> DataFrame:
     Labels spread along edges by minimum and jump along labels, until nothing changes; every round is written to the
     shared folder.
     """
-    edges = edges.where("u != v").select("u", "v")
+    edges, used = edges.where("u != v").select("u", "v"), []
     for _ in range(2):
         # each node keeps one edge, to its least neighbour; its other neighbours get theirs to that one
         least = Window.partitionBy("u")
         near = _mapped(edges, _forest, "u long, v long").withColumn("_low", F.min("v").over(least))
         near = staged(near, "cc-near")
+        used.append(near)
         edges = near.select("u", F.col("_low").alias("v")).unionByName(near.where("v != _low").select(F.col("v").alias("u"), F.col("_low").alias("v"))).distinct()
     edges = staged(edges, "cc-edges")
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     both = staged(both, "cc-both")
-    labels = staged(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "cc")
+    discard(*used, edges)
+    held = labels = staged(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "cc")
     while True:
         spread = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("_near"))
         near = labels.join(spread, "node").select("node", "component", F.least("component", "_near").alias("_next"))
         up = labels.select(F.col("node").alias("_next"), F.col("component").alias("_up"))
         after = staged(near.join(up, "_next", "left").select("node", F.least("_next", F.coalesce("_up", "_next")).alias("component"), (F.col("component") != F.least("_next", F.coalesce("_up", "_next"))).alias("_moved")), "cc")
-        labels = after.select("node", "component")
+        discard(held)
+        held, labels = after, after.select("node", "component")
         if after.where("_moved").isEmpty():
+            discard(both)
             return labels
 
 
@@ -407,14 +418,19 @@ def _small(key: Column) -> Column:
     return F.xxhash64(key).bitwiseAND(F.lit(2**63 - 1))
 
 
-def _blocks(sketch: DataFrame, classes: DataFrame) -> DataFrame:
-    """(small, sig) of the sets in blocks with others, without sets that meet too few for any partner."""
+def _met(sketch: DataFrame, k: int, rounds: int) -> DataFrame:
+    """(small, sig) of the sets in blocks with others, of the signatures of one round."""
     passed = sketch.where("key IS NOT NULL").select(_small(F.col("key")).alias("small"), "alone", "leads", "follows")
-    sent = [passed.select("small", F.explode(c).alias("sig"), F.lit(c == "leads").alias("many")) for c in ("alone", "leads")]
+    mine = F.pmod(F.shiftright("sig", 1), F.lit(rounds)) == k
+    sent = [passed.select("small", F.explode(c).alias("sig"), F.lit(c == "leads").alias("many")).where(mine) for c in ("alone", "leads")]
     block = Window.partitionBy("sig")
     sent = sent[0].unionByName(sent[1]).repartition("sig").groupBy("sig", "small").agg(F.max("many").alias("many"))
     met = sent.withColumns({"_low": F.min("small").over(block), "_high": F.max("small").over(block), "_many": F.max("many").over(block)}).where("_many OR _low != _high").select("small", "sig")
-    met = staged(met.unionByName(passed.select("small", F.explode("follows").alias("sig"))).distinct(), "ngram-met")
+    return met.unionByName(passed.select("small", F.explode("follows").alias("sig")).where(mine)).distinct()
+
+
+def _blocks(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """met without sets that meet too few for any partner."""
     odd = F.col("sig").bitwiseAND(F.lit(1))
     n = met.groupBy("small").agg(F.count_if(odd == 0).alias("n0"), F.count_if(odd == 1).alias("n1"))
     enough = n.join(classes.select("small", "need0", "need1"), "small").where("n0 >= need0 OR n1 >= need1")
@@ -442,10 +458,13 @@ def _links(blocks: DataFrame, classes: DataFrame, thin: DataFrame, shingle: int,
     # 2. candidate groups: the sets of a block go with its least one; written first, so that a join can split a hot block
     low = staged(blocks.groupBy("sig").agg(F.min("small").alias("_low"), F.max("small").alias("_high")).where("_low != _high").select("sig", "_low"), "ngram-low")
     stars = blocks.join(low, "sig").where("small != _low").select(F.col("small").alias("u"), F.col("_low").alias("v")).distinct()
-    groups = components(staged(stars, "ngram-stars")).select(F.col("node").alias("small"), F.col("component").alias("grp"))
+    stars = staged(stars, "ngram-stars")
+    groups = components(stars).select(F.col("node").alias("small"), F.col("component").alias("grp"))
     n_met = blocks.groupBy("small").agg(F.count("*").alias("n_met"))
+    whole = classes.agg(F.sum("n_shingles")).first()[0] or 0
     found = groups.join(n_met, "small").join(classes, "small").select("grp", "small", "key", "rep", "n_shingles", "n_met")
     found = staged(found, "ngram-groups")
+    discard(blocks, low, stars)
     size = F.greatest(F.ceil(F.count("*") / F.lit(CHUNK_DOCS)), F.ceil(F.sum("n_shingles") / F.lit(CHUNK_SHINGLES))).cast("int")
     sizes = found.groupBy("grp").agg(F.count("*").alias("n"), size.alias("chunks")).where("n > 1")
     found = found.join(sizes, "grp").withColumn("a", _chunk(F.col("chunks"), F.col("small")))
@@ -456,8 +475,9 @@ def _links(blocks: DataFrame, classes: DataFrame, thin: DataFrame, shingle: int,
     hubs = sets.join(top.select("small"), "small", "left_semi").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = sets.unionByName(hubs).select("grp", "a", F.col("a").alias("b"), F.lit(False).alias("second"), "small", F.col("small").alias("comp"), "tokens")
     linked = staged(_dealt(rows, part), "ngram-links")
-    large = staged(large.select("grp", "small"), "ngram-large")
+    large = staged(large.select("grp", "small", "n_shingles"), "ngram-large")
     if large.isEmpty():
+        discard(sets)
         return linked
     # 3b. groups that hold several components yet
     comps = components(linked).toDF("small", "comp")
@@ -470,14 +490,20 @@ def _links(blocks: DataFrame, classes: DataFrame, thin: DataFrame, shingle: int,
     rest = rest.join(n_comp, ["grp", "comp"]).join(n_rest, "grp", "left")
     chunks = F.ceil(F.when(F.col("own"), F.col("n")).otherwise(F.col("n_rest")) / F.lit(CHUNK_DOCS)).cast("int")
     of = F.struct(F.when(F.col("own"), F.col("comp")).alias("of"), _chunk(chunks, F.col("small")).alias("i"))
-    rest = staged(rest.select("grp", "small", "comp", F.xxhash64(F.col("grp"), of["of"], of["i"]).alias("chunk"), of["of"].alias("of")), "ngram-rest")
+    rest = staged(rest.select("grp", "small", "comp", "n_shingles", F.xxhash64(F.col("grp"), of["of"], of["i"]).alias("chunk"), of["of"].alias("of")), "ngram-rest")
     parts = rest.select("grp", "chunk", "of").distinct()
     other = parts.select("grp", F.col("chunk").alias("_c"), F.col("of").alias("_of"))
     pairs = parts.join(other, "grp").where("(of IS NULL AND _of IS NULL AND chunk <= _c) OR (of IS NULL AND _of IS NOT NULL) OR (of < _of)")
     meets = pairs.select(F.col("chunk").alias("a"), F.col("_c").alias("b"))
     sides = meets.select(F.col("a").alias("chunk"), "a", "b", F.lit(False).alias("second")).unionByName(meets.where("a != b").select(F.col("b").alias("chunk"), "a", "b", F.lit(True).alias("second")))
-    rows = sets.select("small", "tokens").join(rest, "small").join(sides, "chunk").select("grp", "a", "b", "second", "small", "comp", "tokens")
-    return linked.unionByName(staged(_dealt(rows, part), "ngram-links"))
+    sent = rest.join(sides.groupBy("chunk").agg(F.count("*").alias("n")), "chunk").agg(F.sum(F.col("n") * F.col("n_shingles"))).first()[0] or 0
+    rounds = max(1, math.ceil(sent / max(whole * ROUND_PART, CHUNK_SHINGLES)))
+    for k in range(rounds):
+        mine = sides.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)
+        rows = sets.select("small", "tokens").join(rest.drop("n_shingles"), "small").join(mine, "chunk").select("grp", "a", "b", "second", "small", "comp", "tokens")
+        linked = linked.unionByName(staged(_dealt(rows, part), "ngram-links"))
+    discard(sets)
+    return linked
 
 
 def _dealt(rows: DataFrame, part: int) -> DataFrame:
@@ -492,7 +518,12 @@ def _classed(docs: DataFrame, shingle: int, part: int) -> DataFrame:
     small = _small(F.col("key"))
     classes = sketch.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n_shingles").alias("n_shingles"), F.max("need0").alias("need0"), F.max("need1").alias("need1"))
     classes = staged(classes.withColumn("small", small), "ngram-classes")
-    blocks = staged(_blocks(sketch, classes), "ngram-blocks")
+    # the wide table goes before texts are dealt out
+    met = [staged(_met(sketch, k, ROUNDS), "ngram-met") for k in range(ROUNDS)]
+    rows = staged(sketch.select("doc_id", "n_shingles", "key"), "ngram-keys")
+    discard(sketch)
+    blocks = staged(_blocks(reduce(DataFrame.unionByName, met), classes), "ngram-blocks")
+    discard(*met)
     linked = _links(blocks, classes, thin, shingle, part)
     # 4. groups
     joined = components(linked).withColumnRenamed("node", "small")
@@ -500,7 +531,7 @@ def _classed(docs: DataFrame, shingle: int, part: int) -> DataFrame:
     known = staged(known, "ngram-known")
     least = known.groupBy("comp").agg(F.min("rep").alias("least"))
     known = known.join(least, "comp").select("key", "mult", "comp", "least")
-    out = sketch.select("doc_id", "n_shingles", "key").join(known, "key", "left")
+    out = rows.join(known, "key", "left")
     alone = F.col("comp").isNull()
     return out.select(
         "doc_id", "n_shingles", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),

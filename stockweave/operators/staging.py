@@ -1,6 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
-Tables lie in one folder an application, which the file system deletes when the driver's process ends.
+Tables lie in one folder an application, which the file system deletes when the driver's process ends; large ones that
+no later step reads are discarded before.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it Spark deletes the shuffle files of a query when it ends; else they stay until the driver collects its garbage.
+FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_root(spark: SparkSession) -> str:
     """This application's folder under spark.checkpoint.dir. Only a session with a local master, whose executor is the
@@ -39,6 +43,21 @@ def spread(df: DataFrame) -> DataFrame:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: computed once, and safe from lost executors."""
-    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(FREES_SHUFFLES, "false")
+    spark.conf.set(FREES_SHUFFLES, "true")  # of this query, whose result is read from its files from now on
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREES_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that staged() returned and that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.staged_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

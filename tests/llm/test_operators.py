@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import os
 import random
 import re
 import time
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stockweave.llm import license_scan, media, mixing, ngram_join, pii, quality_rules, sentencepiece_lattice, token_store, toxicity, warc
+from stockweave.llm import common, license_scan, media, mixing, ngram_join, pii, quality_rules, sentencepiece_lattice, token_store, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, ids string, copies int, kept string, component_id string, _row int"
 LONG = " ".join(f"w{i % 997} of" for i in range(60_000))
@@ -117,6 +118,43 @@ def test_large_groups_are_joined_in_chunks(spark, monkeypatch):
     assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == sorted({c for _, c, _ in want})
 
 
+def test_shuffle_files_go_with_their_query(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f for f in re.findall(r"shuffle_\d+_\d+_\d+\.data", blocks.getAllFiles().mkString(" "))}
+
+    before = shuffled()
+    table = common.staged(spark.range(10_000).repartition("id").groupBy((F.col("id") % 7).alias("k")).count(), "freed")
+    end = time.time() + 10
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffled() - before and sorted(r.k for r in table.collect()) == list(range(7))
+    common.discard(table)
+    assert not any(n.startswith("freed-") for n in os.listdir(common.shared_root(spark)))
+
+
+def test_wide_tables_of_the_join_go_before_its_end(spark):
+    before = set(os.listdir(common.shared_root(spark)))
+    docs = spark.createDataFrame(list(enumerate(mutated(random.Random(6), 60))), "doc_id long, text string")
+    rows = ngram_join.link_documents(docs)
+    left = {re.sub(r"-[0-9a-f]{32}$", "", n) for n in set(os.listdir(common.shared_root(spark))) - before}
+    assert not left & {"ngram", "ngram-met", "ngram-blocks", "ngram-sets"} and "ngram-keys" in left
+    assert rows.count() == docs.count()
+
+
+def test_pairs_of_chunks_are_dealt_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK_DOCS", 7)
+    monkeypatch.setattr(ngram_join, "CHUNK_SHINGLES", 2000)
+    names = []
+    monkeypatch.setattr(ngram_join, "staged", lambda df, name: names.append(name) or common.staged(df, name))
+    rnd = random.Random(2)
+    texts = [*drifting(rnd, 60, 120, 1), *drifting(rnd, 30, 120, 4)]
+    rnd.shuffle(texts)
+    assert grouped(spark, texts) == plain_groups(texts)
+    assert names.count("ngram-met") == ngram_join.ROUNDS and names.count("ngram-links") > 3
+
+
 def test_keep_one_takes_rows_not_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(1, a), (1, a), (1, b), (2, b + " tail"), (None, c), (None, c), (None, c + " more"), (3, ""), (3, None), (None, "")]
