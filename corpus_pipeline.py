@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockweave.llm import mixing, ngram_join, pii, sentencepiece_lattice, toxicity
-from stockweave.llm.common import staged
+from stockweave.llm.common import discard, staged
 
 ORACLE_SQL = None
 #: Words of a shingle, and hundredths of similarity from which documents are near copies.
@@ -59,5 +59,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if name != STAGES[0][0]:  # a stage's output goes when the next one has been written
+            discard(before)
     return docs

@@ -1,7 +1,9 @@
+import os
 import random
 
 import corpus_pipeline
 from stockweave.llm import pii, sentencepiece_lattice
+from stockweave.llm.common import shared_root
 
 
 def test_stages_against_plain_ones(spark, tmp_path):
@@ -57,3 +59,11 @@ def test_near_copies_by_five_words_from_four_fifths_on(spark, tmp_path):
     assert len(want) == 10
     docs = spark.createDataFrame(pairs, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()) == want
+
+
+def test_outputs_of_stages_go_when_the_next_is_written(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"keep{k}", lambda spark, docs, sf_dir: docs) for k in range(3)])
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r.doc_id for r in rows.collect()) == [1, 2] and spark.read.parquet(f"{tmp_path}/documents.parquet").count() == 2
+    assert [n.rsplit("-", 1)[0] for n in os.listdir(shared_root(spark)) if n.startswith("pipeline-keep")] == ["pipeline-keep2"]
