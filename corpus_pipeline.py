@@ -59,7 +59,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        before, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, out = docs, stage(spark, docs, sf_dir)
+        docs = staged(out, f"pipeline-{name}")
+        discard(*getattr(out, "staged_inputs", ()))
         if name != STAGES[0][0]:  # a stage's output goes when the next one has been written
             discard(before)
     return docs

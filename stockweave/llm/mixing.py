@@ -102,9 +102,17 @@ def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents themselves: each row as often as it has copies, with the columns of docs."""
-    out = with_copies(docs, **options)
-    return out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mixed documents themselves: each row as often as it has copies, with the columns of docs.
+
+    Rows get numbers and are staged with them; only numbers, sizes and hashes are ranked, and the copies come back to the
+    documents by a hash join that holds no text. So no sort or window holds the texts of a cell.
+    """
+    rows = staged(sized(docs.withColumn("_doc", F.struct(*docs.columns))).select("_doc", "doc_id", "size", "_key", "_tie", F.monotonically_increasing_id().alias("_row")), "mix-rows")
+    copies = with_copies(rows.drop("_doc"), **options).where("copies > 0").select("_row", "copies")
+    out = rows.select("_doc", "_row").join(copies.hint("shuffle_hash"), "_row")
+    out = out.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")
+    out.staged_inputs = [rows]  # to be discarded when the result has been written
+    return out
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:

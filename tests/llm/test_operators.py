@@ -512,6 +512,26 @@ def test_mixing(spark):
     assert mixing.mix(docs).count() == sum(r.copies for r in got)
 
 
+def test_mixed_documents_pass_no_sort_or_window(spark):
+    rnd = random.Random(4)
+    rows = [(k % 300 if k % 9 else None, "w " * rnd.randint(0, 40), rnd.choice(["a", "b", None]), f"x{k % 5}", k, k % 2) for k in range(900)]  # doc_ids repeat
+    rows += rows[:20] + [(7, None, "a", None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _tie string, size long, copies int")
+    nodes = lambda p: [p, *(x for i in range(p.children().size()) for x in nodes(p.children().apply(i)))]
+    for node in nodes(mixing.mix(docs.drop("_tie", "size", "copies"))._jdf.queryExecution().sparkPlan()):
+        if "Window" in node.nodeName() or "Sort" in node.nodeName():
+            assert not any(c in node.output().toString() for c in ("text", "_doc#")), node.nodeName()
+    # every document as often as with_copies has it, its own columns kept
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    want = Counter()
+    for r in mixing.with_copies(docs.drop("_tie", "size", "copies")).collect():
+        want[r.doc_id, r.text, r.source] += r.copies
+    assert Counter((r.doc_id, r.text, r.source) for r in out.collect()) == +want
+    assert {(r["_tie"], r["size"], r["copies"]) for r in out.collect()} <= {r[3:] for r in rows}
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
 def test_token_blocks_of_any_shape():
     rng = np.random.default_rng(0)
     sources = [rng.integers(0, 65536, 3000), np.zeros(5000, int), rng.integers(0, 3, 4097), np.tile(rng.integers(0, 49408, 7), 600), np.minimum(rng.zipf(1.3, 2500), 65535)]

@@ -67,3 +67,12 @@ def test_outputs_of_stages_go_when_the_next_is_written(spark, tmp_path, monkeypa
     rows = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in rows.collect()) == [1, 2] and spark.read.parquet(f"{tmp_path}/documents.parquet").count() == 2
     assert [n.rsplit("-", 1)[0] for n in os.listdir(shared_root(spark)) if n.startswith("pipeline-keep")] == ["pipeline-keep2"]
+
+
+def test_what_mixing_has_staged_goes_too(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, f"a b {k}", "s") for k in range(9)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("mixing", corpus_pipeline.mix_sources)])
+    before = set(os.listdir(shared_root(spark)))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(shared_root(spark))) - before}
+    assert "pipeline-mixing" in left and "mix-rows" not in left
