@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from stockweave.llm.common import returning_memory, slices, staged
 
 MAGIC = b"SWTOKCM3"
-#: A block's ids, 4096 at most: sums of their counts are kept in three levels of 16.
+#: A block's ids, 4096 at most: sums of their counts are kept in three levels of 16, and 16 bits hold a count or four times
+#: an id's number.
 BLOCK_IDS = 2048
 #: A file is closed at so many ids; it then has so many / BLOCK_IDS lanes.
 FILE_IDS = 3_000_000
@@ -59,14 +60,14 @@ class _Lanes:
         self.lanes, self.base = lanes, np.arange(lanes, dtype=np.int64) << SLOT_BITS
         size = lanes << SLOT_BITS
         # slots: the predicted id times 4, plus 0 to 3 for how often in a row it has been right
-        self.slot1, self.slot2 = np.full(size, -4, np.int32), np.full(size, -4, np.int32)
+        self.slot1, self.slot2 = np.full(size, -4, np.int16), np.full(size, -4, np.int16)
         self.hash1, self.hash2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         # outcomes by order-2 context, by order-1 context, and by the number of ids so far, 16 of each
         self.counts = np.ones((3 * lanes * 16, 4), np.int32)
         self.row = np.arange(lanes, dtype=np.int64) << 4
         self.weight = np.full((3, lanes), 1 / 3)
         # counts of ids, of 16 ids, and of 256
-        self.single, self.some, self.many = np.zeros((lanes * 256, 16), np.int32), np.zeros((lanes * 16, 16), np.int32), np.zeros((lanes, 16), np.int32)
+        self.single, self.some, self.many = (np.zeros((n, 16), np.int16) for n in (lanes * 256, lanes * 16, lanes))
 
     def predict(self, n: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For the first n lanes: order-2 and order-1 predictions, the frequencies of the outcomes (4, n) and their sums
@@ -114,10 +115,10 @@ class _Lanes:
         self.single.reshape(-1)[(lane << 12) + ids] += 1
         self.some.reshape(-1)[(lane << 8) + (ids >> 4)] += 1
         self.many.reshape(-1)[(lane << 4) + (ids >> 8)] += 1
-        four = ids.astype(np.int32) << 2
+        four = ids.astype(np.int16) << 2
         for slot, got, where in ((self.slot1, self.got1, self.at1), (self.slot2, self.got2, self.at2)):
             run = got ^ four  # below 4 if the slot was right
-            hit = run.view(np.uint32) < 4
+            hit = run.view(np.uint16) < 4
             # a slot that has been right gives way only when it has lost its confidence
             slot[where] = np.where(hit, four | np.minimum((got & 3) + 1, 3), np.where((got & 3) > 1, got - 2, four))
         np.multiply(self.hash1[:n], 31, out=self.hash2[:n])
@@ -132,10 +133,10 @@ class _Lanes:
 
     def find(self, lane: np.ndarray, target: np.ndarray) -> np.ndarray:
         """The ids whose ranges hold target."""
-        ids, left = np.zeros(len(lane), np.int64), target.astype(np.int32)
+        ids, left = np.zeros(len(lane), np.int64), target.astype(np.int16)
         for table, shift in ((self.many, 0), (self.some, 4), (self.single, 8)):
             rows = np.ascontiguousarray(table.take((lane << shift) + ids, axis=0).T)
-            np.cumsum(rows, axis=0, out=rows)
+            np.cumsum(rows, axis=0, dtype=np.int16, out=rows)
             digit = (rows <= left).sum(0, dtype=np.int64)
             left = left - np.where(digit > 0, rows.ravel().take(np.maximum(digit - 1, 0) * len(lane) + np.arange(len(lane))), 0)
             ids = ids << 4 | digit
@@ -143,7 +144,7 @@ class _Lanes:
 
 
 #: For a digit of 16, ones at those below it.
-_BELOW = np.tri(16, k=-1, dtype=np.int32)
+_BELOW = np.tri(16, k=-1, dtype=np.int16)
 #: Bits of a number of ids, as a context.
 _BITS = np.array([int(k).bit_length() for k in range(BLOCK_IDS + 1)], np.int64)
 

@@ -565,3 +565,13 @@ def test_token_store_of_equal_and_missing_ids(spark):
     assert sorted(files(5).collect(), key=lambda r: r.start) == got
 
 
+
+
+def test_narrow_tables_code_the_same_blocks():
+    # one id alone, blocks of distinct ids, and mixtures; the sum is that of the coder with tables of 32 bits
+    ids = np.concatenate([np.arange(9000) ** 2 % 977, np.zeros(2048, int), np.arange(2048 * 3), np.arange(5000) % 13])
+    blocks = token_store.encode_blocks(ids)
+    assert zlib.crc32(b"".join(blocks)) == 586229022
+    assert (token_store.decode_blocks(blocks, [min(2048, len(ids) - i) for i in range(0, len(ids), 2048)], token_store.new_ids(ids)) == ids).all()
+    tables = token_store._Lanes(8)
+    assert sum(t.nbytes for t in (tables.slot1, tables.slot2, tables.single, tables.some, tables.many)) / 8 <= 4 * 2048 + 2 * (4096 + 256 + 16)
