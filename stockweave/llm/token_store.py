@@ -8,7 +8,8 @@ and weights change with every id. An id that the block has had is then coded by
 far. A new one is coded by the number of the file's blocks that have it, a table in the file's header. Every block starts
 from the same state and has a CRC-32 of its ids, so blocks are read alone. Blocks of a file are coded side by side, one
 lane of a numpy vector each; all arithmetic is on integers, or single additions, products and quotients of doubles, whose
-results no machine may vary.
+results no machine may vary. The query's tables of files are coded and decoded by TokenCoder.java, one block after the other
+with the same arithmetic: blocks are equal byte by byte, and write_file and read_file take either's files.
 
 A file is a header, the table of ids, the block table (ids, bytes, CRC-32), the documents' token counts and the blocks.
 Files are rows of a table in the shared folder, in ascending order of doc_id; a document's start is its place in the file
@@ -25,14 +26,18 @@ import json
 import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockweave.llm import token_coder
 from stockweave.llm.common import returning_memory, slices, staged
 
 MAGIC = b"SWTOKCM3"
@@ -351,14 +356,52 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts
 
 
+def _picked(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sizes) of the runs at these places; ends: 0 and the end of each run."""
+    first = ends[at]
+    size = ends[at + 1] - first
+    total = np.cumsum(size)
+    return ids[np.repeat(first - total + size, size) + np.arange(total[-1] if len(at) else 0)], size
+
+
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _lines(strings: pa.Array) -> str:
+    """Strings, a line each; far faster than a Python string each."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(strings)], strings), pa.scalar("\n", pa.large_string()))[0].as_py()
+
+
+class _Store:
+    """Strings that have been met, with their ids; held as Arrow and numpy arrays."""
+
+    def __init__(self, code: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+        """code: (ids of distinct strings one after the other, how many each has)."""
+        self.code = code
+        self.known, self.ids, self.ends = pa.array([], pa.large_string()), np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any strings."""
+        coded = strings.dictionary_encode()
+        place = np.array(pc.fill_null(pc.index_in(coded.dictionary, value_set=self.known), -1))
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            new = coded.dictionary.take(fresh)
+            ids, sizes = self.code(new)
+            place[fresh] = len(self.known) + np.arange(len(fresh))
+            self.known = pa.concat_arrays([self.known, new])
+            self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        return _picked(self.ids, self.ends, place[np.asarray(coded.indices)])
+
+
 class WordEncoder:
     """Ids of whole texts from the ids of their words.
 
     White space separates pre-tokens of this tokenizer and no step looks across it, so each distinct word is encoded
     once, by the library's model for each of its pre-tokens, and texts are put together from a bounded store of words.
     What could differ there goes through the whole library: words that normalisation may change by more than case or
-    that may hold special tokens, and texts with the separators U+001C to U+001F, which Python alone takes for white
-    space.
+    that may hold special tokens, and texts with the separators U+001C to U+001F, which not all take for white space.
     """
 
     def __init__(self, path: str):
@@ -368,58 +411,67 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         steps = json.loads(self.library.to_str())["pre_tokenizer"]["pretokenizers"]
-        self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self.pieces_and_ends = regex.compile(f"{steps[0]['pattern']['Regex']}|\n").findall
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed: bytes that the byte level shows as themselves
         rest = [b for b in range(256) if b not in set(plain)]
-        self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.shown = np.zeros(256, "<u4")
+        self.shown[plain], self.shown[rest] = plain, 256 + np.arange(len(rest))
+        self.shown[10] = 10  # between pieces; none has one
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.of_piece: dict[str, list[int]] = {}
-        self.ids, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
-
-    def word(self, w: str) -> list[int]:
-        if w.isalpha() and w.isascii():  # one pre-token
-            return self.piece(w.lower())
-        if "<|" in w or not w.isascii() and ("\u03a3" in w or not unicodedata.is_normalized("NFC", w)):
-            return self.library.encode(w, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in self.pieces(w.lower()):
-            out += self.piece(piece)
-        return out
-
-    def piece(self, piece: str) -> list[int]:
-        got = self.of_piece.get(piece)
-        if got is None:
-            text = piece if piece.isascii() and piece.isprintable() else "".join(map(self.shown.__getitem__, piece.encode()))
-            got = self.of_piece[piece] = [t.id for t in self.model.tokenize(text)]
-        return got
+        self.words, self.pieces = _Store(self._words), _Store(self._pieces)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        letters = np.asarray(pc.match_substring_regex(words, "^[A-Za-z]+$"))  # one pre-token
+        ids, sizes = self.pieces.encode(pc.ascii_lower(words.filter(letters)))
+        more, others = self._split(words.filter(~letters)) if not letters.all() else (ids[:0], sizes[:0])
+        at = np.empty(len(words), np.int64)
+        at[np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])] = np.arange(len(words))
+        return _picked(np.concatenate([ids, more]), _ends(np.concatenate([sizes, others])), at)
+
+    def _split(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        special = lambda t: "<|" in t or not t.isascii() and ("\u03a3" in t or not unicodedata.is_normalized("NFC", t))
+        text, odd = _lines(words), {}
+        if special(text):
+            each = text.split("\n")
+            odd = {i: self.library.encode(w, add_special_tokens=False).ids for i, w in enumerate(each) if special(w)}
+            text = "\n".join("" if i in odd else w for i, w in enumerate(each))
+        pieces = pa.array(self.pieces_and_ends(text.lower()), pa.large_string())
+        end = np.asarray(pc.equal(pieces, "\n"))
+        ids, sizes = self.pieces.encode(pieces.filter(~end))
+        sizes = np.bincount(np.cumsum(end)[~end], sizes, len(words)).astype(np.int64)
+        if odd:
+            at, more = np.array(list(odd)), np.array([len(x) for x in odd.values()])
+            ids = np.insert(ids, np.repeat((np.cumsum(sizes) - sizes)[at], more), np.array([x for got in odd.values() for x in got], np.int32))
+            sizes[at] = more
+        return ids, sizes
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        shown = self.shown[np.frombuffer(_lines(pieces).encode(), np.uint8)].tobytes().decode("utf-32-le").split("\n")
+        coded = list(map(self.model.tokenize, shown))
+        return np.fromiter(map(attrgetter("id"), chain.from_iterable(coded)), np.int32), np.fromiter(map(len, coded), np.int64, len(coded))
 
     def encode(self, texts: list[str], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; token counts)."""
-        odd = {i: t for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        words = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        flat = [w for ws in words for w in ws]
-        if len(self.place) > CACHED_WORDS:
+        return self.encode_column(pa.array(texts, pa.large_string()), end_id)
+
+    def encode_column(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """The same of a column of strings; nulls are empty texts."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        odd = np.asarray(pc.match_substring_regex(texts, "[\x1c-\x1f]"))
+        if len(self.words.known) > CACHED_WORDS or len(self.pieces.known) > CACHED_WORDS:
             self.clear()
-        fresh = list(set(flat).difference(self.place))
-        coded = list(map(self.word, fresh))
-        self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
-        self.ids = np.concatenate([self.ids, np.array([x for c in coded for x in c], np.int32)])
-        ends = self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))])
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        first, size = ends[at], ends[at + 1] - ends[at]
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(first - total[:-1], size) + np.arange(total[-1])]
-        stop = np.cumsum([len(w) for w in words])
-        counts = np.diff(np.concatenate([[0], total[stop]])) + 1
-        ids = np.insert(ids, total[stop], end_id)
-        if odd:
+        words = pc.utf8_split_whitespace(pc.if_else(odd, "", texts) if odd.any() else texts)
+        ids, sizes = self.words.encode(words.flatten())
+        ends = _ends(sizes)[np.asarray(words.offsets)[1:]]
+        counts = np.diff(ends, prepend=0) + 1
+        ids = np.insert(ids, ends, end_id)
+        if odd.any():
             ends = np.cumsum(counts)
             parts = [ids[e - c : e] for e, c in zip(ends, counts, strict=True)]
-            for i, t in odd.items():
-                parts[i] = np.array([*self.library.encode(t, add_special_tokens=False).ids, end_id])
+            for i in np.flatnonzero(odd).tolist():
+                parts[i] = np.array([*self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, end_id])
             ids, counts = np.concatenate(parts), np.array([len(p) for p in parts])
         return ids, counts
 
@@ -441,12 +493,12 @@ def _writer(path: str):
 
         def close() -> pa.RecordBatch:
             all_ids, all_counts = np.concatenate(ids), np.concatenate(counts)
-            row = [docs[0], docs, len(all_ids), write_file(all_ids, all_counts)]
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["first_doc", "docs", "n_ids", "data"])
+            row = [docs[0], docs, len(all_ids), all_ids.astype("<u4").tobytes(), all_counts.astype("<u4").tobytes()]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["first_doc", "docs", "n_ids", "ids", "counts"])
 
-        for b in slices(batches, 1024, 1 << 21):
-            got, n = encoder.encode([t or "" for t in b.column(1).to_pylist()])
+        for b in slices(batches, 4096, 1 << 23):
+            got, n = encoder.encode_column(b.column(1))
             ids.append(got.astype(np.int32))
             counts.append(n)
             docs += b.column(0).to_pylist()
@@ -463,19 +515,16 @@ def _writer(path: str):
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for file, docs, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            ids, counts = read_file(data.as_py())
-            raw = memoryview(ids.astype("<u4").tobytes())
-            ends = np.cumsum(counts)
-            crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-            cols = [pa.array([file] * len(docs), pa.int64()), pa.array(docs, pa.int64()), pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())]
+            counts, crc = np.frombuffer(data.as_buffer(), "<u4").astype(np.int64).reshape(2, -1)
+            cols = [pa.array([file] * len(docs), pa.int64()), pa.array(docs, pa.int64()), pa.array(np.cumsum(counts) - counts), pa.array(counts), pa.array(crc)]
             yield pa.RecordBatch.from_arrays(cols, names=["file", "doc_id", "place", "n_tokens", "ids_crc32"])
 
 
 def write_tokens(docs: DataFrame, path: str) -> DataFrame:
     """The files of docs, as a table in the shared folder: file (in ascending order), docs, n_ids, data."""
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("_tie", F.xxhash64("text")).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
-    files = rows.mapInArrow(_writer(path), "first_doc long, docs array<long>, n_ids long, data binary")
-    return staged(files.select((F.spark_partition_id().cast("long") * 2**32 + F.monotonically_increasing_id() % 2**32).alias("file"), "first_doc", "docs", "n_ids", "data"), "tokens")
+    files = rows.mapInArrow(_writer(path), "first_doc long, docs array<long>, n_ids long, ids binary, counts binary")
+    return staged(files.select((F.spark_partition_id().cast("long") * 2**32 + F.monotonically_increasing_id() % 2**32).alias("file"), "first_doc", "docs", "n_ids", token_coder.written(docs.sparkSession, "ids", "counts").alias("data")), "tokens")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -486,7 +535,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
     tasks = thin.groupBy("task").agg(F.sum("n_ids").alias("n")).select("task", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("task").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     starts = thin.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(tasks, "task").select("file", (F.col("ahead") + F.col("inside")).alias("first"))
-    docs = files.select("file", "docs", "data").mapInArrow(returning_memory(_read), "file long, doc_id long, place long, n_tokens long, ids_crc32 long")
+    docs = files.select("file", "docs", token_coder.sums(files.sparkSession, "data")).mapInArrow(returning_memory(_read), "file long, doc_id long, place long, n_tokens long, ids_crc32 long")
     docs = staged(docs, "token-docs")  # decoded once, whatever the join's strategy becomes
     return docs.join(starts, "file").select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
