@@ -4,64 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stockweave.functions.text import strip
+from stockweave.functions import jvm
 
 #: Longest range that is expanded; one of more stays as it is. A row of a million designators takes about 100 MB while it
 #: is made, so tasks of an executor may meet some at once; the limit is a parameter.
 RANGE_CAP = 1_000_000
-_ONE = r"^([A-Za-z]+)([0-9]{1,18})$"
-
-
-def _let(value: Column, body) -> Column:
-    """Bind value for body, so that it is evaluated once; references inside lambdas would repeat it."""
-    return F.transform(F.array(value), body)[0]
 
 
 def expand(c: Column, cap: int = RANGE_CAP) -> Column:
     """"R3, R1-R2, X?" -> "R1, R2, R3, X?": prefixes in order, then numbers, then what has another form.
 
-    A range with its ends swapped gives nothing, unless nothing else is left: then the text stays. Digits are ASCII. A cell
-    that is one designator, as most are, needs no lists.
+    A range with its ends swapped gives nothing, unless nothing else is left: then the text stays. Digits are ASCII.
     """
-    text = "cast(null as string)"
-
-    def item(prefix: Column, num: Column, raw: Column) -> Column:
-        return F.struct(prefix.alias("prefix"), num.alias("num"), raw.alias("raw"))
-
-    def verbatim(t: Column) -> Column:
-        return F.array(item(F.expr(text), F.expr("cast(null as bigint)"), t))
-
-    def end(x: Column) -> Column:
-        """prefix (empty: another form) and number."""
-        return F.struct(F.regexp_extract(x, _ONE, 1).alias("prefix"), F.regexp_extract(x, _ONE, 2).try_cast("long").alias("num"))
-
-    def of_range(t: Column) -> Column:
-        ends = _let(F.split(t, "-", 2), lambda x: F.struct(end(strip(x[0])).alias("a"), end(strip(x[1])).alias("b")))
-
-        def spread(e: Column) -> Column:
-            a, b = e["a"], e["b"]
-            numbers = F.transform(F.sequence(a["num"], F.greatest(a["num"], b["num"])), lambda n: item(a["prefix"], n, F.expr(text)))
-            same = F.when(b["num"] - a["num"] >= cap, verbatim(t)).when(a["num"] <= b["num"], numbers).otherwise(F.slice(verbatim(t), 1, 0))
-            two = F.array(item(a["prefix"], a["num"], F.expr(text)), item(b["prefix"], b["num"], F.expr(text)))
-            return F.when((a["prefix"] == "") | (b["prefix"] == ""), verbatim(t)).when(a["prefix"] == b["prefix"], same).otherwise(two)
-
-        return _let(ends, spread)
-
-    def parse(t: Column) -> Column:
-        one = _let(end(t), lambda e: F.when(e["prefix"] == "", verbatim(t)).otherwise(F.array(item(e["prefix"], e["num"], F.expr(text)))))
-        return F.when(t.contains("-") & ~t.startswith("-"), of_range(t)).otherwise(one)
-
-    def order(parsed: Column) -> Column:
-        # nulls first in a struct's order would mix the two kinds, so they are sorted and kept apart
-        named = F.transform(F.array_sort(F.filter(parsed, lambda p: p["prefix"].isNotNull())), lambda p: F.concat(p["prefix"], p["num"].cast("string")))
-        return F.concat(named, F.transform(F.filter(parsed, lambda p: p["prefix"].isNull()), lambda p: p["raw"]))
-
-    def joined(clean: Column) -> Column:
-        tokens = F.filter(F.transform(F.split(clean, ","), strip), lambda t: t != "")
-        whole = lambda x: F.when(F.size(x) == 0, clean).otherwise(F.array_join(x, ", "))
-        found = lambda ts: F.when(F.size(ts) == 0, F.lit("")).otherwise(_let(_let(F.flatten(F.transform(ts, parse)), order), whole))
-        return _let(tokens, found)
-
-    clean = F.regexp_replace(F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r",\s*$", ""), r"\s*,\s*", ", ")
-    return _let(clean, lambda x: F.when(x.rlike("[,-]"), joined(x)).otherwise(F.regexp_replace(x, r"^([A-Za-z]+)0*([0-9]+)$", "$1$2")))
+    return jvm.call("Expand", T.StringType(), c, F.lit(cap))

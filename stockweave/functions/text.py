@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from stockweave import catalog
+from stockweave.functions import jvm
 
 #: What float() reads, in ASCII: sign, digits with single underscores between them, exponent, nan, inf.
 NUMBER = r"^[+-]?(([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?|(?i:nan|inf|infinity))$"
 
 
+def _visible(c: Column) -> Column:
+    return (c >= "!") & (c <= "~")
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^(?U:\s)+|(?U:\s)+$", "")
+    """Texts whose ends are visible ASCII, as most, need no pattern."""
+    ends = _visible(F.substring(c, 1, 1)) & _visible(F.substring(c, -1, 1))
+    return F.when(ends, c).otherwise(F.regexp_replace(c, r"^(?U:\s)+|(?U:\s)+$", ""))
 
 
 def squeeze(c: Column) -> Column:
@@ -64,16 +73,27 @@ def semantic(attributes: Column) -> Column:
     return F.map_filter(F.coalesce(attributes, none), lambda k, v: ~k.isin(catalog.NON_SEMANTIC_KEYS))
 
 
+_BOOKKEEPING = "\n".join(sorted(catalog.NON_SEMANTIC_KEYS))
+
+
+def _json(attributes: Column, without: str = "", squeezed: bool = False) -> Column:
+    return jvm.call("Json", T.StringType(), attributes, F.lit(without), F.lit(squeezed))
+
+
 def json_map(attributes: Column) -> Column:
     """A JSON object with sorted keys and a space after colons and commas."""
-    pairs = F.transform(F.array_sort(F.map_entries(attributes)), lambda e: F.concat(json_text(e["key"]), F.lit(": "), json_text(e["value"])))
-    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+    return _json(attributes)
+
+
+def json_semantic(attributes: Column) -> Column:
+    """json_map of what semantic keeps."""
+    return F.coalesce(_json(attributes, _BOOKKEEPING), F.lit("{}"))
 
 
 def checksum(qty: Column, attributes: Column) -> Column:
     """SHA-256 of quantity and semantic attributes; white space inside values doesn't count."""
-    clean = F.transform_values(semantic(attributes), lambda k, v: squeeze(v))
-    return F.sha2(F.concat(F.lit('{"attributes": '), json_map(clean), F.lit(', "quantity": '), json_number(qty), F.lit("}")), 256)
+    clean = F.coalesce(_json(attributes, _BOOKKEEPING, True), F.lit("{}"))
+    return F.sha2(F.concat(F.lit('{"attributes": '), clean, F.lit(', "quantity": '), json_number(qty), F.lit("}")), 256)
 
 
 def part_key(part_id: Column) -> Column:
@@ -81,7 +101,7 @@ def part_key(part_id: Column) -> Column:
 
 
 def semantic_key(part_id: Column, qty: Column, attributes: Column) -> Column:
-    return F.md5(F.concat_ws("|", part_key(part_id), F.coalesce(qty.cast("string"), F.lit("NO_QTY")), json_map(semantic(attributes))))
+    return F.md5(F.concat_ws("|", part_key(part_id), F.coalesce(qty.cast("string"), F.lit("NO_QTY")), json_semantic(attributes)))
 
 
 def pick(attributes: Column, keys: list[str]) -> Column:

@@ -17,8 +17,7 @@ def _append(held: Column, more: Column, sep: str) -> Column:
 
 
 def _clean(header: str, c: Column) -> Column:
-    c = text.strip(c)
-    return refdes.expand(c) if header == "reference_designator" else c
+    return refdes.expand(c) if header == "reference_designator" else text.strip(c)  # expand strips, too
 
 
 def normalize(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
