@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockweave import catalog
-from stockweave.functions import refdes, text
-from stockweave.operators.headers import resolve, resolve_column
+from stockweave.functions import jvm, refdes, text
+from stockweave.operators.headers import resolve
 
 _APPEND = ("reference_designator", "notes")
 
@@ -43,30 +49,54 @@ def normalize(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return raw.select(*[F.col(f"`{k}`") for k in keep], *[_clean(h, c).alias(h) for h, c in held.items()])
 
 
+_RUN = "_pos array<int>, _names array<string>, _headers array<string>, _values array<string>"
+
+
+def _runs(row: list[str]):
+    """Batches of cells to one row for each run of cells whose row columns are equal."""
+
+    def codes(c: pa.Array) -> np.ndarray:
+        return pc.fill_null(c.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, str | None] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            new[0] = True
+            for k in row:
+                at = codes(b.column(k))
+                new[1:] |= at[1:] != at[:-1]
+            first = np.flatnonzero(new)
+            names = b.column("col_name").dictionary_encode()
+            for n in names.dictionary.to_pylist():
+                if n not in known:
+                    known[n] = resolve(n)
+            headers = pa.DictionaryArray.from_arrays(names.indices, pa.array([known[n] for n in names.dictionary.to_pylist()], pa.string())).cast(pa.string())
+            offsets = pa.array(np.append(first, b.num_rows).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, c) for c in (b.column("col_pos"), b.column("col_name"), headers, b.column("value"))]
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(first)) for k in row], *lists], [*row, "_pos", "_names", "_headers", "_values"])
+
+    return gather
+
+
 def normalize_cells(cells: DataFrame, row: list[str]) -> DataFrame:
-    """The same for long rows (row..., col_pos, col_name, value), whose headers are data; one shuffle of the cells, by row."""
-    # names repeat in every row, so each is resolved once
-    names = cells.select("col_name").distinct().withColumn("_header", resolve_column(F.col("col_name")))
-    known = names.select(F.col("col_name").alias("_name"), "_header")
-    ordered = cells.join(known, F.col("col_name").eqNullSafe(F.col("_name")), "left").groupBy(*row).agg(
-        F.array_sort(F.collect_list(F.struct("col_pos", "col_name", "value", "_header"))).alias("_cells")
-    )
-
-    def fold(header: str) -> Column:
-        def step(held: Column, x: Column) -> Column:
-            value, own = x["value"], x["_header"] == header
-            if header in _APPEND:
-                taken = F.when(held != "", F.concat(held, F.lit(", "), F.coalesce(value, F.lit("None")))).otherwise(F.coalesce(value, F.lit("")))
-            else:
-                taken = F.when(held != "", held).otherwise(F.coalesce(value, F.lit("")))
-            out = F.when(own, taken)
-            if header == "notes":
-                out = out.when(x["_header"].isNull() & x["col_name"].isNotNull() & (F.coalesce(value, F.lit("")) != ""), _append(held, F.concat(x["col_name"], F.lit(": "), value), "; "))
-            return out.otherwise(held)
-
-        return F.aggregate("_cells", F.lit(""), step)
-
-    return ordered.select(*row, *[_clean(h, fold(h)).alias(h) for h in catalog.HEADERS])
+    """The same for long rows (row..., col_pos, col_name, value), whose headers are data; one shuffle, by row.
+
+    Cells of a row mostly come one after the other, so they are gathered into arrays where they are read: runs are
+    shuffled instead of cells, and grouped only after that, so no sort before the shuffle holds a partition's cells.
+    """
+    columns = cells.select(*row, F.col("col_pos").cast("int").alias("col_pos"), "col_name", "value")
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[: len(row)])
+    runs = columns.mapInArrow(_runs(row), f"{keys}, {_RUN}").repartition(*row)
+    # a window, since an aggregate into a list is sorted and serialized twice
+    every = Window.partitionBy(*row).orderBy(F.col("_pos")[0])
+    whole = F.collect_list(F.struct("_pos", "_names", "_headers", "_values")).over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    grouped = runs.select(*row, whole.alias("_runs"), F.row_number().over(every).alias("_n")).where("_n = 1")
+    parts = [F.flatten(F.col(f"_runs.{c}")) for c in ("_pos", "_names", "_headers", "_values")]
+    held = jvm.call("Fold", T.ArrayType(T.StringType()), *parts, F.lit("\n".join(catalog.HEADERS)))
+    return grouped.select(*row, held.alias("_held")).select(*row, *[_clean(h, F.get("_held", F.lit(i))).alias(h) for i, h in enumerate(catalog.HEADERS)])
 
 
 def part_name() -> Column:

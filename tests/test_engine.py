@@ -336,3 +336,13 @@ def test_long_designators(spark):
     got = [r.x for r in spark.createDataFrame(list(enumerate(cells)), "i int, c string").select("i", refdes.expand(F.col("c")).alias("x")).orderBy("i").collect()]
     assert got[0].split(", ") == [f"R{i}" for i in range(1, 200_001)] and time.time() - began < 30
     assert got[1:] == ["R7", "R0", "C" + "9" * 30, "C4, R1, R2, R3", "x", "", "R00010-R00008"]
+
+
+def test_cells_of_a_row_may_be_apart(spark):
+    cells = [("f", 0, 2, "Ref", "R3"), ("g", 0, 0, "Qty", "1"), ("f", 0, 0, "Colour", "red"), ("f", 0, 1, "Remarks", None), ("f", 0, 4, "Designator", None), ("f", 0, 3, "Remarks", "x"), ("f", 1, 0, None, "y"), ("f", 0, 5, "Remarks", "")]
+    df = spark.createDataFrame(cells, "file string, row_index int, col_pos int, col_name string, value string")
+    folded = normalize.normalize_cells(df.repartition(8), ["file", "row_index"])
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan  # a sort of all cells of a partition before the shuffle, which spilled
+    got = {(r.file, r.row_index): (r.reference_designator, r.notes, r.quantity) for r in folded.collect()}
+    assert got == {("f", 0): ("R3, None", "Colour: red, None, x,", ""), ("g", 0): ("", "", "1"), ("f", 1): ("", "", "")}
