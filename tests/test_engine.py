@@ -346,3 +346,13 @@ def test_cells_of_a_row_may_be_apart(spark):
     assert "ObjectHashAggregate" not in plan  # a sort of all cells of a partition before the shuffle, which spilled
     got = {(r.file, r.row_index): (r.reference_designator, r.notes, r.quantity) for r in folded.collect()}
     assert got == {("f", 0): ("R3, None", "Colour: red, None, x,", ""), ("g", 0): ("", "", "1"), ("f", 1): ("", "", "")}
+
+
+def test_copies_of_parts_are_compared_once(spark):
+    rnd = random.Random(8)
+    pool = [*entities(rnd, 60), ("o0", None, {}), ("o0", "", {"value": "1"}), ("o0", "x", {"value": None}), ("o1", "Alpha", None), ("o1", "ALPHA", {}), ("o1", "alpha", {"k": "v"})]
+    parts = spark.createDataFrame([(f"p{i}", i, *rnd.choice(pool)) for i in range(90)], f"part_id string, ord long, {ENTITY}")
+    rows = spark.createDataFrame([(f"r{i}", *rnd.choice(pool)) for i in range(120)], f"row_id string, {ENTITY}")
+    want = {r.row_id: (r.part_id, r.score) for r in resolve.best(resolve.similar_parts(rows, parts), "part_id").collect()}
+    assert {r.row_id: (r.part_id, r.score) for r in resolve.best_parts(rows, parts).collect()} == want and len(want) > 60
+    assert resolve._first_parts(parts).count() < 60  # each row met all 90 before
