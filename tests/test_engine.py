@@ -356,3 +356,22 @@ def test_copies_of_parts_are_compared_once(spark):
     want = {r.row_id: (r.part_id, r.score) for r in resolve.best(resolve.similar_parts(rows, parts), "part_id").collect()}
     assert {r.row_id: (r.part_id, r.score) for r in resolve.best_parts(rows, parts).collect()} == want and len(want) > 60
     assert resolve._first_parts(parts).count() < 60  # each row met all 90 before
+
+
+def test_diff_moves_only_what_it_needs(spark, monkeypatch):
+    rnd = random.Random(4)
+    value = lambda: rnd.choice(["x", "x  y", None, "", "é"])
+    some = lambda prefix: [(f"{rnd.choice([prefix, 'ab', 'AB', 'zz'])}{i:04x}", rnd.choice(["p", "q", None, "p|1"]), rnd.choice([1.0, 2.0, None]), rnd.choice([None, {}, *[{k: value() for k in ("value", "note", "row_index") if rnd.random() < 0.6} for _ in range(6)]])) for i in range(150)]
+    a, b = states(spark, some("c")), states(spark, some("d"))
+    a = a.withColumn("checksum", F.when(F.col("quantity").isNull(), F.lit(None)).otherwise(F.col("checksum")))
+    flat = lambda df: sorted(map(repr, df.collect()))
+    made = []
+    monkeypatch.setattr(diff, "staged", lambda df, name, f=diff.staged: made.append(df.columns) or f(df, name))
+    whole = diff.diff(a, b)
+    kept = diff.statuses(a, b)
+    assert flat(whole.select(kept.columns)) == flat(kept)
+    assert [c for c in made if "attributes" in c] == made[:1] and len(made) == 2  # both states, whole, and five more tables before
+    assert flat(diff.match_by_id(a, b)) == flat(kept.where("tier = 1").select("id_a", "id_b")) and len(made) == 2
+    assert {r.status for r in kept.collect()} == {"ADDED", "REMOVED", "MODIFIED", "UNCHANGED", "NOOP"}
+    monkeypatch.setattr(diff, "HOT", 10)
+    assert flat(diff.diff(a, b)) == flat(whole) and len(made) > 4
