@@ -375,3 +375,21 @@ def test_diff_moves_only_what_it_needs(spark, monkeypatch):
     assert {r.status for r in kept.collect()} == {"ADDED", "REMOVED", "MODIFIED", "UNCHANGED", "NOOP"}
     monkeypatch.setattr(diff, "HOT", 10)
     assert flat(diff.diff(a, b)) == flat(whole) and len(made) > 4
+
+
+def test_rows_of_a_file_come_as_they_are_asked_for():
+    import tracemalloc
+
+    data = ("Item#,Description\n" + "".join(f"{i},part é {i}\n" for i in range(200_000))).encode()
+    tracemalloc.start()
+    try:
+        columns, rows = files.adapter("x.csv")(data, "x.csv")
+        assert columns == ["Item#", "Description"] and next(iter(rows)) == {"Item#": "0", "Description": "part é 0"}
+        assert sum(1 for _ in rows) == 199_999
+        assert tracemalloc.get_traced_memory()[1] < 6 * len(data)  # 19.5 times the file before
+    finally:
+        tracemalloc.stop()
+    wide = ",".join(f"c;{i}" for i in range(600)).encode() + b"\n1,2\n"
+    assert files.parse_csv(wide, "x.csv")[0][:2] == ["c;0", "c;1"] and len(files.parse_csv(wide, "x.csv")[0]) == 600
+    old = "a;b\n\x93;é\n".encode("latin-1")
+    assert files.parse_csv(old, "x.csv") == (["a", "b"], [{"a": "“", "b": "é"}])
